@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.llm.bpe import encode_column
 from loomline.llm.nearest import match_tables
+from loomline.llm.splitting import split_items
 from loomline.llm.sql import SQL
+from loomline.session import table
 
 TOLERANCE_MS = 1_500
 
@@ -16,4 +19,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("entity").alias("recording_id"), F.col("left_ref").cast("bigint").alias("pos"), F.col("right_ref").alias("chunk_id"))
 
 
-QUERIES = {"p2_found": p2_found}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = split_items(table(spark, sf_dir, "chunks"), only_oversized=True)
+    return pieces.select(F.col("id").alias("chunk_id"), "boundary").distinct()
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_items(table(spark, sf_dir, "chunks").select("id", "text", "start_ms", "end_ms").distinct())
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_ids": p7_ids}
