@@ -9,6 +9,7 @@ from loomline.llm.bpe import encode_column
 from loomline.llm.nearest import match_tables
 from loomline.llm.splitting import split_items
 from loomline.llm.sql import SQL
+from loomline.llm.turns import label_lines, turn_starts, turns
 from loomline.session import table
 
 TOLERANCE_MS = 1_500
@@ -19,6 +20,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("entity").alias("recording_id"), F.col("left_ref").cast("bigint").alias("pos"), F.col("right_ref").alias("chunk_id"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = label_lines(table(spark, sf_dir, "asr_segments"), table(spark, sf_dir, "speaker_names"))
+    return turn_starts(labelled.drop("text")).filter("opens").select("recording_id", "start_ms", "speaker").distinct()
+
+
+def p3_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns(table(spark, sf_dir, "asr_segments"), table(spark, sf_dir, "speaker_names"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = split_items(table(spark, sf_dir, "chunks"), only_oversized=True)
     return pieces.select(F.col("id").alias("chunk_id"), "boundary").distinct()
@@ -32,4 +42,4 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_ids": p7_ids}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_turns": p3_turns, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_ids": p7_ids}
