@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm.bpe import encode_column
+from loomline.llm.leaks import find_leaks
 from loomline.llm.nearest import match_tables
 from loomline.llm.splitting import split_items
 from loomline.llm.sql import SQL
@@ -42,4 +43,9 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_turns": p3_turns, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_ids": p7_ids}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.select("doc_id", "item_id").distinct()
+
+
+QUERIES = {"p8_found": p8_found, "p2_found": p2_found, "p3_found": p3_found, "p3_turns": p3_turns, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_ids": p7_ids}
