@@ -10,6 +10,7 @@ from loomline.llm.leaks import find_leaks
 from loomline.llm.nearest import match_tables
 from loomline.llm.splitting import split_items
 from loomline.llm.sql import SQL
+from loomline.llm.subjects import subject_areas
 from loomline.llm.turns import label_lines, turn_starts, turns
 from loomline.session import table
 
@@ -48,4 +49,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p8_found": p8_found, "p2_found": p2_found, "p3_found": p3_found, "p3_turns": p3_turns, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_ids": p7_ids}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = subject_areas(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subjects")))
+    return found.select("doc_id", "subject").distinct()
+
+
+QUERIES = {"p9_found": p9_found, "p8_found": p8_found, "p2_found": p2_found, "p3_found": p3_found, "p3_turns": p3_turns, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_ids": p7_ids}
