@@ -7,24 +7,14 @@ from pyspark.sql import functions as F
 
 from loomline.operators.changes import apply_changes, current, publish
 from loomline.operators.intervals import periods_and_gaps
+from loomline.operators.log_store import usable
+from loomline.schemas import REQUIRED
 from loomline.session import scratch, table
 
-#: Columns a usable history row must have, and the kinds it may be of.
-REQUIRED = ["format_version", "id", "kind", "created_at", "title", "model", "segments", "duration_ms", "word_count"]
-KINDS = ["scribe", "dictate", "transcribe", "written"]
-
 #: Gaps from this length on (a day) separate sittings and are not listed.
 LONGEST_GAP_MS = 86_400_000
 
 
-def usable(log: DataFrame) -> DataFrame:
-    """History rows that count: no required field null, kind exactly one of the four."""
-    ok = F.col("kind").isin(KINDS)
-    for name in REQUIRED:
-        ok &= F.col(name).isNotNull()
-    return log.filter(ok)
-
-
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = usable(table(spark, sf_dir, "history_log")).select("id", "seq", "deleted")
     target = scratch(spark, "history")
