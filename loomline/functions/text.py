@@ -243,20 +243,21 @@ _TAIL = re.compile(r"(?:[^\w]|_)+\Z")
 LONGEST_PHRASE = 5
 
 
-def _bare(token: str) -> str:
-    return ascii_fold(_TAIL.sub("", token))
+_FOLD = str.maketrans(_UPPER, _LOWER)
 
 
-def ascii_fold(s: str) -> str:
-    return s.translate(str.maketrans(_UPPER, _LOWER))
+def _bare(token: str) -> str:
+    return (token if token[-1].isalnum() else _TAIL.sub("", token)).translate(_FOLD)
 
 
 def drop_repeated_phrases(text: str) -> str:
     """W13 on one text."""
-    tokens = [w for w in re.split(r"[\s]+", text) if w]
+    tokens = text.split()
     if len(tokens) < 2:
         return text
     keys = [_bare(t) for t in tokens]
+    if not any(a == b for d in range(1, LONGEST_PHRASE + 1) for a, b in zip(keys, keys[d:])):
+        return " ".join(tokens)  # nothing within reach comes twice
     kept = [0]
     at = 1
     while at < len(tokens):

@@ -37,7 +37,7 @@ def fold_sorted(df: DataFrame, key: str, order: list[str], values: list[str], ma
             return done
 
         for batch in batches:
-            for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            for k, *row in zip(*(cells(c) for c in batch.columns)):
                 if k != now:
                     if fold is not None:
                         out.extend((now, *r) for r in fold.end())
@@ -56,6 +56,14 @@ def fold_sorted(df: DataFrame, key: str, order: list[str], values: list[str], ma
     return rows.mapInArrow(run, schema)
 
 
+def cells(column: pa.Array) -> Iterable:
+    """Values of a column; lists of numbers as arrays, which spares a Python object a number."""
+    if not (pa.types.is_list(column.type) and pa.types.is_floating(column.type.value_type)):
+        return column.to_pylist()
+    flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a:b] if ok else None for a, b, ok in zip(at, at[1:], column.is_valid().to_pylist())]
+
+
 def _split(schema: str) -> list[str]:
     parts, depth, at = [], 0, 0
     for i, c in enumerate(schema):

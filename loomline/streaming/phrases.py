@@ -19,7 +19,7 @@ from loomline.operators.fold import Fold, fold_sorted
 
 FRAME, RATE = 512, 16_000
 PHRASE = "session_id string, start_sample long, end_sample long, error string"
-STATE = "pending array<float>, context array<float>, scored long, quiet long, heard boolean, start long, next_packet long, failed boolean"
+STATE = "tail array<float>, context array<float>, scored long, quiet long, heard boolean, start long, next_packet long, failed boolean"
 
 
 
@@ -43,11 +43,11 @@ def loudness(pcm: np.ndarray) -> np.ndarray:
 
 
 class Cutter:
-    """One session's state."""
+    """One session's state: samples not yet scored, their context, and counts."""
 
     def __init__(self, score: Scorer = loudness, limits: Limits = Limits()) -> None:
         self.score, self.limits = score, limits
-        self.pending = np.zeros(0, np.float32)
+        self.tail = np.zeros(0, np.float32)
         self.context = np.zeros(0, np.float32)
         self.scored = self.quiet = self.start = 0
         self.heard = False
@@ -55,10 +55,11 @@ class Cutter:
     def push(self, pcm: np.ndarray) -> list[tuple[int, int]]:
         """Phrases that end within the samples so far, as (first, past last)."""
         cuts, lim = [], self.limits
-        self.pending = np.concatenate([self.pending, np.asarray(pcm, np.float32)])
-        while len(self.pending) - self.scored >= lim.step:
-            step = self.pending[self.scored : self.scored + lim.step]
-            self.context = np.concatenate([self.context, step])[-4 * lim.step :]
+        data = np.concatenate([self.tail, np.asarray(pcm, np.float32)])
+        at = 0
+        while len(data) - at >= lim.step:
+            self.context = np.concatenate([self.context, data[at : at + lim.step]])[-4 * lim.step :]
+            at += lim.step
             for p in self.score(self.context)[-(lim.step // FRAME) :]:
                 self.heard |= bool(p >= 0.5)
                 self.quiet = 0 if p >= 0.5 else self.quiet + 1
@@ -66,14 +67,17 @@ class Cutter:
             if self.heard and self.scored >= lim.least and self.quiet >= lim.quiet:
                 cuts.append((self.start, self.start + self.scored))
                 self.start += self.scored
-                self.pending = self.pending[self.scored :]
                 self.scored, self.quiet, self.heard = 0, 0, False
-        if len(self.pending) > lim.most:
+            elif self.scored > lim.most:
+                raise OverflowError("no pause within the buffer's limit")
+        self.tail = data[at:]
+        if self.scored + len(self.tail) > lim.most:
             raise OverflowError("no pause within the buffer's limit")
         return cuts
 
     def finish(self) -> list[tuple[int, int]]:
-        return [(self.start, self.start + len(self.pending))] if len(self.pending) else []
+        end = self.start + self.scored + len(self.tail)
+        return [(self.start, end)] if end > self.start else []
 
 
 def phrases_stream(packets: DataFrame, score: Scorer = loudness, limits: Limits = Limits()) -> DataFrame:
@@ -86,8 +90,8 @@ def phrases_stream(packets: DataFrame, score: Scorer = loudness, limits: Limits
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         c, expected, failed = Cutter(score, limits), 0, False
         if state.exists:
-            pending, context, c.scored, c.quiet, c.heard, c.start, expected, failed = state.get
-            c.pending, c.context = np.array(pending, np.float32), np.array(context, np.float32)
+            tail, context, c.scored, c.quiet, c.heard, c.start, expected, failed = state.get
+            c.tail, c.context = np.array(tail, np.float32), np.array(context, np.float32)
         rows: list[tuple] = []
         own = pd.concat(list(frames)).sort_values("packet_no")
         for n, samples, end in zip(own["packet_no"], own["samples"], own["is_end"]):
@@ -104,7 +108,7 @@ def phrases_stream(packets: DataFrame, score: Scorer = loudness, limits: Limits
             except OverflowError as e:
                 failed = True
                 rows = [(key[0], None, None, str(e))]
-        state.update((c.pending.tolist(), c.context.tolist(), c.scored, c.quiet, c.heard, c.start, expected, failed))
+        state.update((c.tail.tolist(), c.context.tolist(), c.scored, c.quiet, c.heard, c.start, expected, failed))
         if rows:
             yield pd.DataFrame(rows, columns=["session_id", "start_sample", "end_sample", "error"]).astype({"start_sample": "Int64", "end_sample": "Int64"})
 
