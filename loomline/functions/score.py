@@ -43,7 +43,7 @@ def instant(text: Column) -> Column:
 def recency(created_at: Column, now: str) -> Column:
     """Halves every 90 whole days; 0 without a date."""
     days = F.floor((F.unix_micros(F.to_timestamp(F.lit(now))) - F.unix_micros(instant(created_at))) / F.lit(86_400_000_000))
-    return F.coalesce(F.pow(F.lit(0.5), F.greatest(days, F.lit(0)) / HALF_LIFE_DAYS), F.lit(0.0))
+    return F.when(days.isNull(), F.lit(0.0)).otherwise(F.pow(F.lit(0.5), F.greatest(days, F.lit(0)) / HALF_LIFE_DAYS))
 
 
 def matched_terms(terms: Column, query_terms: list[str]) -> Column:

@@ -80,14 +80,14 @@ def format_hms(ms: Column) -> Column:
     """HH:MM:SS."""
     s = F.greatest(F.floor(ms / 1000), F.lit(0))
     two = lambda x: F.lpad(x.cast("string"), F.greatest(F.length(x.cast("string")), F.lit(2)), F.lit("0"))
-    return F.concat_ws(":", two(F.floor(s / 3600)), two(F.floor(s % 3600 / 60)), two(s % 60))
+    return F.when(ms.isNotNull(), F.concat_ws(":", two(F.floor(s / 3600)), two(F.floor(s % 3600 / 60)), two(s % 60)))
 
 
 def format_ms(ms: Column) -> Column:
     """MM:SS, minutes as many as there are."""
     s = F.greatest(F.floor(ms / 1000), F.lit(0))
     two = lambda x: F.lpad(x.cast("string"), F.greatest(F.length(x.cast("string")), F.lit(2)), F.lit("0"))
-    return F.concat_ws(":", two(F.floor(s / 60)), two(s % 60))
+    return F.when(ms.isNotNull(), F.concat_ws(":", two(F.floor(s / 60)), two(s % 60)))
 
 
 def timestamp_anchor(start: Column, end: Column) -> Column:

@@ -273,7 +273,8 @@ def build_index(spark, sf):
 
 
 _CHUNKS = "c AS (SELECT DISTINCT * FROM chunks)"
-_RECENCY = f"coalesce(pow(0.5, greatest(CAST(floor((epoch_us(TIMESTAMPTZ '{NOW}') - epoch_us(TRY_CAST(created_at AS TIMESTAMPTZ))) / 86400000000.0) AS BIGINT), 0) / 90.0), 0)"
+_DAYS = f"CAST(floor((epoch_us(TIMESTAMPTZ '{NOW}') - epoch_us(TRY_CAST(created_at AS TIMESTAMPTZ))) / 86400000000.0) AS BIGINT)"
+_RECENCY = f"CASE WHEN {_DAYS} IS NULL THEN 0 ELSE pow(0.5, greatest({_DAYS}, 0) / 90.0) END"
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:

@@ -26,11 +26,12 @@ FRONT_MATTER_BYTES = 4096
 def read_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Usable versions of a JSON-lines log with ``seq``, and the lines that can't be read. Blank lines are skipped."""
     schema = StructType(_parse_datatype_string(HISTORY_LOG).fields + _parse_datatype_string("_bad string").fields)
-    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").json(path)
-    good = usable(rows.filter("_bad IS NULL")).drop("_bad").fillna({"deleted": False, "speaker_capture": False, "dual_source": False})
+    lines = spark.read.text(path).filter("trim(value) <> ''")
+    rows = lines.select("value", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"}).alias("r")).select("value", "r.*")
+    good = usable(rows.filter("_bad IS NULL")).drop("_bad", "value").fillna({"deleted": False, "speaker_capture": False, "dual_source": False})
     for name in ("speaker_blocks", "speaker_chunks", "session_speakers", "notes"):
         good = good.withColumn(name, F.coalesce(name, F.array().cast(good.schema[name].dataType)))
-    return good, rows.filter("_bad IS NOT NULL").select(F.col("_bad").alias("line"))
+    return good, rows.filter("_bad IS NOT NULL").select(F.col("value").alias("line"))
 
 
 def append_log(rows: DataFrame, path: str) -> None:
