@@ -5,8 +5,8 @@ For each pair whose seeds could cover enough of the passage, the longest common
 are found with running Karp-Rabin hashes, from long to short, and marked as tiles, so no token is counted twice
 and passages in another order or in pieces still count. Tiles' share of the passage decides.
 
-Words that many items' passages share in the same setting say nothing about which item leaked; a tile counts
-only with enough words that are rare among the items.
+Words that many items' passages share say nothing about which item leaked, so tiles must also hold enough of the words,
+or long enough runs of words, that tell a passage from the others.
 
 Scale: one map over the documents. The items' n-gram index is built once; items come in blocks of bounded size, each
 of which is shipped to the workers and held against all documents. Only seeds near each other are tiled, so
@@ -31,8 +31,8 @@ SHARED_BY = 3
 #: Tokens of a block of items shipped to the workers at once; the index of one takes some 100 MB.
 BLOCK_TOKENS = 500_000
 MAX_TOKENS = 20_000_000
-#: A word in more than this share of the items says little about one; of a passage's other words, this part of the share must be tiled.
-COMMON, OWN_SHARE = 0.005, 0.5
+#: A word in more than this share of the items says little about one. Of a passage's other words this part of the share must be tiled, or the share in tiles with runs of so many words that only it has.
+COMMON, OWN_RUN, OWN_SHARE = 0.005, 8, 0.5
 #: Words the two sides of a bridged change may differ by.
 BRIDGE = 2
 
@@ -64,18 +64,21 @@ def passages(items: list[tuple[int, str]]) -> dict[int, list[str]]:
     return {i: p for i, p in out.items() if p}
 
 
-def common_words(items: dict[int, list[str]]) -> frozenset[str]:
-    """Words of more than a few of the items."""
+def telling(items: dict[int, list[str]]) -> dict[int, tuple[list[bool], list[bool]]]:
+    """What tells each passage from the others: rare words, and the starts of runs of ``OWN_RUN`` words that only it has."""
     df = Counter(w for p in items.values() for w in set(p))
-    return frozenset(w for w, n in df.items() if n > max(2, COMMON * len(items)))
+    most = max(2, COMMON * len(items))
+    run_of = lambda p: [tuple(p[i : i + OWN_RUN]) for i in range(len(p) - OWN_RUN + 1)]
+    runs = Counter(g for p in items.values() for g in set(run_of(p)))
+    return {i: ([df[w] <= most for w in p], [runs[g] == 1 for g in run_of(p)]) for i, p in items.items()}
 
 
 class Index:
     """n-grams of a block of items, and how many items of all have each word."""
 
-    def __init__(self, block: dict[int, list[str]], common: frozenset[str] | None = None, n: int = MIN_TILE) -> None:
+    def __init__(self, block: dict[int, list[str]], own: dict[int, tuple[list[bool], list[bool]]] | None = None, n: int = MIN_TILE) -> None:
         self.n, self.items = n, block
-        self.common = common_words(block) if common is None else common
+        self.own = telling(block) if own is None else own
         self.seeds: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
         for i, p in block.items():
             for at in range(len(p) - n + 1):
@@ -98,8 +101,13 @@ class Index:
             reach = {p + k for _, p in pairs for k in range(n)}
             if len(reach) < need * 0.6:  # bridged words can add to what seeds reach
                 continue
-            tiled, own = covered(words, passage, pairs, n, self.common)
-            if tiled >= need and own >= OWN_SHARE * share * sum(w not in self.common for w in passage):
+            rare, alone = self.own[item]
+            tiled, tiles = covered(words, passage, pairs, n)
+            if tiled < need:
+                continue
+            own = sum(sum(rare[j : j + k]) for j, k in tiles)
+            long = sum(k for j, k in tiles if k >= OWN_RUN and any(alone[j : j + k - OWN_RUN + 1]))
+            if own >= OWN_SHARE * share * sum(rare) or long >= need:
                 out[item] = (tiled, len(passage))
         return out
 
@@ -153,8 +161,8 @@ def tile(doc: list[str], passage: list[str], n: int) -> list[tuple[int, int, int
     return tiles
 
 
-def covered(words: list[str], passage: list[str], pairs: list[tuple[int, int]], n: int, common: frozenset[str]) -> tuple[int, int]:
-    """Tokens of the passage in tiles, with single changed words between two tiles of one run; tiled tokens not common to items."""
+def covered(words: list[str], passage: list[str], pairs: list[tuple[int, int]], n: int) -> tuple[int, list[tuple[int, int]]]:
+    """Tokens of the passage in tiles, with single changed words between two tiles of one run; and the tiles (place, length)."""
     places = sorted({at + k for at, _ in pairs for k in range(n)})
     doc, last = [], None
     where = []
@@ -171,8 +179,7 @@ def covered(words: list[str], passage: list[str], pairs: list[tuple[int, int]],
         gap, other = j2 - (j + k), i2 - (i + k)
         if 0 < gap <= BRIDGE and 0 <= other <= BRIDGE + 1:
             total += gap
-    own = sum(w not in common for j, _, k in tiles for w in passage[j : j + k])
-    return total, own
+    return total, [(j, k) for j, _, k in tiles]
 
 
 def read_items(items: DataFrame, key: str, text: str) -> dict[int, list[str]]:
@@ -195,7 +202,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
     """
     spark = docs.sparkSession
     own = read_items(items, item_key, text)
-    common = common_words(own)
+    signs = telling(own)
     blocks, size = [{}], 0
     for i, p in own.items():
         if size + len(p) > BLOCK_TOKENS and blocks[-1]:
@@ -207,7 +214,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
     d_type, i_type = rows.schema["d"].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
 
     def scan(block: dict[int, list[str]]) -> DataFrame:
-        shipped = spark.sparkContext.broadcast((block, common))
+        shipped = spark.sparkContext.broadcast((block, {i: signs[i] for i in block}))
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(*shipped.value)

@@ -127,7 +127,8 @@ def mod97(account: str) -> bool:
 
 def check_letter(number: str) -> bool:
     """The check letter of Spanish identity numbers."""
-    n = number.upper().translate(str.maketrans("XYZ", "012"))
+    n = number.upper()
+    n = n[:1].translate(str.maketrans("XYZ", "012")) + n[1:]
     return n[:-1].isdigit() and "TRWAGMYFPDXBNJZSQVHLCKE"[int(n[:-1]) % 23] == n[-1]
 
 

@@ -33,8 +33,8 @@ FREE, PASSES, INNER = 4, 2, 12
 ANCHOR, DESCRIBED = 0.8, 0.5
 #: Terms of fewer documents carry no weight; those of many are damped by this power of their count.
 LEAST_DOCS, DAMPING = 3, 0.25
-#: A labelled term seeds a subject by how far its share there exceeds this many times an even share.
-EVEN = 2.0
+#: A labelled term seeds a subject by how far its share there exceeds an even one and this part of the way to all of it.
+MARGIN = 0.09
 #: Share of a document's sentences from which a subject is given.
 QUARTER = 0.25
 #: Words of a stretch without end marks that count as one sentence.
@@ -269,12 +269,15 @@ def fit(matrix: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "d
     by_label = summed(labelled, k, label_rows)
     rate = by_label[:DIM] / np.maximum(by_label[DIM], 1)
     share = (rate + 0.02 * mean[:, None]) / np.maximum(rate.sum(1) + 0.02 * k * mean, 1e-12)[:, None]
-    seed = np.maximum(share - EVEN / k, 0) * mean[:, None]
+    floor = 1 / k + MARGIN * (1 - 1 / k)
+    seed = np.maximum(share - floor, 0) * mean[:, None]
     for j, name in enumerate(names):
         for t in terms(_WORD.findall(normal(f"{name} {described[name]}").casefold())):
             seed[t, j] += DESCRIBED * mean[t]
     seed = unit(seed)
-    start = mean[:, None] * np.random.default_rng(7).uniform(0.5, 1.5, (DIM, FREE))
+    # Free components keep off the terms that seed a subject, else one of them may grow into it.
+    general = 1 - np.clip((share.max(1) - floor) / max(1 - floor, 1e-12), 0, 1)[:, None]
+    start = general * mean[:, None] * np.random.default_rng(7).uniform(0.5, 1.5, (DIM, FREE))
     ht = np.hstack([seed + 1e-3 * unit(mean[:, None]), unit(start)])
 
     for _ in range(PASSES):
@@ -288,6 +291,7 @@ def fit(matrix: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "d
         both = summed(matrix, width, products)
         new = unit(ht * both[:DIM] / np.maximum(ht @ both[DIM : DIM + width], 1e-12))
         new[:, :k] = ANCHOR * seed + (1 - ANCHOR) * new[:, :k]
+        new[:, k:] *= general
         ht = unit(new)
     return Model(names, weight, ht)
 

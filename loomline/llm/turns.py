@@ -258,7 +258,7 @@ class Extractor:
                 text = rest
             elif (role == "speaker" or self.labels.plain(slot)) and (read := self.labels.read(slot)):
                 label, text = label or read, rest
-            elif role == "note" and _ANNOTATION.fullmatch(own):
+            elif role in ("note", None) and _ANNOTATION.fullmatch(own):
                 text = rest
             else:
                 break
