@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.operators.sequence import bucketed, with_latest, with_previous
+from loomline.session import checkpointed
 
 TURN_GAP_MS = 60_000
 #: The names table is held by every worker; more rows than this are refused.
@@ -52,6 +53,8 @@ _ANNOTATION = re.compile(r"\[[^\[\]@\n]{1,60}\]|\{[^{}\n]{1,60}\}|<[^<>@\n]{1,60
 _TIME = re.compile(r"\d+(?::\d\d){1,2}(?:[.,]\d+)?|\d+[.,]\d+")
 _TOKEN = re.compile(r"\s+|\d+|[^\W\d_]+|_|[^\w\s]")
 _CLOSERS = set(":])>}-–—|")
+_CLOSED = re.compile(r"[:\])>}–—|-](?:\s|\Z)")
+_BRACKET = re.compile(r"[\[{<*(♪♫♩]")
 _WORDLIKE = re.compile(r"[^\W_]")
 
 
@@ -105,6 +108,8 @@ class Labels:
 
 def unit(text: str) -> tuple[tuple[str, ...], str, str] | None:
     """The unit at the head of ``text``: its tokens with digits masked, the unit itself, and the rest."""
+    if _CLOSED.search(text) is None:
+        return None
     tokens, words, at = [], 0, 0
     for m in _TOKEN.finditer(text):
         tok = m.group()
@@ -212,7 +217,8 @@ def mine_layouts(lines: DataFrame, labels: Labels) -> dict[tuple[str, ...], str]
         rows = [("\x1f".join(t), n, a, b) for t, n, a, b in tree.groups()]
         yield pd.DataFrame(rows, columns=["template", "n", "timed", "labelled"])
 
-    mined = lines.select("text", F.col("start_ms").cast("double").alias("start_ms")).filter("text IS NOT NULL").mapInPandas(run, "template string, n long, timed long, labelled long")
+    closed = F.col("text").rlike(r"(?U)[:\])>}–—|-](\s|\z)")  # else there is no unit
+    mined = lines.select("text", F.col("start_ms").cast("double").alias("start_ms")).filter(closed).mapInPandas(run, "template string, n long, timed long, labelled long")
     summed = mined.groupBy("template").agg(F.sum("n").alias("n"), F.sum("timed").alias("timed"), F.sum("labelled").alias("labelled"))
     # Only layouts with a role are of use, and a tree bounds how many there are.
     useful = summed.filter((F.col("timed") >= ROLE_SHARE * F.col("n")) | (F.col("labelled") >= ROLE_SHARE * F.col("n")) | F.col("template").rlike(r"^[\[({<*]"))
@@ -266,9 +272,13 @@ class Extractor:
 
     @staticmethod
     def clean(text: str) -> str:
-        text = _ANNOTATION.sub(" ", text)
-        german = _GERMAN.search(text) is not None
-        text = _HESITATION.sub(lambda m: m.group() if german and _GERMAN_ER.fullmatch(m.group()) else " ", text)
+        if _BRACKET.search(text):
+            text = _ANNOTATION.sub(" ", text)
+
+        def gone(m: re.Match) -> str:
+            return m.group() if _GERMAN_ER.fullmatch(m.group()) and _GERMAN.search(text) else " "
+
+        text = _HESITATION.sub(gone, text)
         text = " ".join(text.split())
         return text if _WORDLIKE.search(text) else ""
 
@@ -306,7 +316,8 @@ def label_lines(lines: DataFrame, names: DataFrame) -> DataFrame:
 
 def turn_starts(labelled: DataFrame) -> DataFrame:
     """The labelled lines, with ``opens``: whether a turn begins there. Repeats of a line follow it and open nothing."""
-    rows = bucketed(labelled, ["recording_id"], "start_ms")
+    # Written once: the look-back reads it twice, and what Python made would be made twice.
+    rows = bucketed(checkpointed(labelled, "lines"), ["recording_id"], "start_ms")
     seen = with_previous(rows, ["recording_id"], ["start_ms", "pos"], ["speaker", "start_ms", "pos"])
     change = F.col("prev").isNull() | (F.col("prev.speaker") != F.col("speaker")) | (F.col("start_ms") - F.col("prev.start_ms") > TURN_GAP_MS)
     return seen.withColumn("opens", change).withColumn("repeat", F.coalesce((F.col("prev.start_ms") == F.col("start_ms")) & (F.col("prev.pos") == F.col("pos")), F.lit(False)))
