@@ -50,20 +50,35 @@ def mix_down(v: Column, channels: int) -> Column:
     return F.when(frames > 0, F.transform(F.sequence(F.lit(0), frames - 1), lambda i: F.aggregate(F.slice(v.cast("array<double>"), i * channels + 1, channels), F.lit(0.0), lambda s, x: s + x) / channels)).otherwise(F.array().cast("array<double>"))
 
 
-def resample(v: Column, rate: int, to: int) -> Column:
-    """Linear interpolation between neighbours, the last sample held."""
+def resample(v: Column, rate: int | Column, to: int) -> Column:
+    """Linear interpolation between neighbours, the last sample held; samples at the wanted rate stay as they are."""
     v = v.cast("array<double>")
-    if rate == to:
-        return v
-    n = F.floor(F.size(v) * F.lit(to) / F.lit(rate)).cast("int")
+    if isinstance(rate, int):
+        if rate == to:
+            return v
+        rate = F.lit(rate)
+    n = F.floor(F.size(v) * F.lit(to) / rate).cast("int")
 
     def at(i: Column) -> Column:
-        place = i * F.lit(rate / to)
+        place = i * (rate / F.lit(float(to)))
         low = F.floor(place).cast("int")
         a, b = F.get(v, F.least(low, F.size(v) - 1)), F.get(v, F.least(low + 1, F.size(v) - 1))
         return a + (b - a) * (place - low)
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(F.array().cast("array<double>"))
+    made = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(F.array().cast("array<double>"))
+    return F.when(rate == to, v).otherwise(made)
+
+
+def assembled(pieces: Column, total: Column) -> Column:
+    """Samples of pieces (``start``, ``pcm``, both in samples) on a line of ``total`` zeros; later pieces cover earlier ones, what lies outside is cut."""
+
+    def lay(line: Column, piece: Column) -> Column:
+        start = F.greatest(F.least(piece["start"], total), F.lit(0)).cast("int")
+        own = F.slice(piece["pcm"].cast("array<double>"), F.lit(1), F.greatest(total - start, F.lit(0)).cast("int"))
+        stop = start + F.size(own)
+        return F.concat(F.slice(line, F.lit(1), start), own, F.slice(line, stop + 1, F.greatest(total - stop, F.lit(0)).cast("int")))
+
+    return F.aggregate(pieces, F.array_repeat(F.lit(0.0), total.cast("int")), lay)
 
 
 def quantise(v: Column) -> Column:

@@ -44,6 +44,22 @@ def newest_first(items: DataFrame) -> DataFrame:
     return items.orderBy(F.desc("created_at"), "first_seq" if "first_seq" in items.columns else "id")
 
 
+def neighbours(items: DataFrame, key: str) -> tuple[str | None, str | None]:
+    """Ids of the items before and after one in the newest-first list, each by a cut of one row."""
+    own = items.filter(F.col("id") == key).select("created_at", "id").first()
+    if own is None:
+        return None, None
+    same, at = F.col("created_at") == own.created_at, F.col("created_at")
+    before = items.filter((at > own.created_at) | (same & (F.col("id") < own.id))).orderBy("created_at", F.desc("id")).limit(1).first()
+    after = items.filter((at < own.created_at) | (same & (F.col("id") > own.id))).orderBy(F.desc("created_at"), "id").limit(1).first()
+    return before and before.id, after and after.id
+
+
+def legacy_id(c: Column) -> Column:
+    """P18."""
+    return F.startswith(c, F.lit("md::")) | F.startswith(c, F.lit("dictate::"))
+
+
 def of_kind(items: DataFrame, kind: str) -> DataFrame:
     """``all`` or one kind; uploads are transcriptions."""
     return items if kind == "all" else items.filter(F.col("kind") == {"upload": "transcribe"}.get(kind, kind))

@@ -136,6 +136,15 @@ def phrases_batch(packets: DataFrame, score: Scorer = loudness, limits: Limits =
     return fold_sorted(packets, "session_id", ["packet_no"], ["samples"], lambda: _Replay(score, limits), PHRASE)
 
 
+def at_rate(packets: DataFrame, rate: int = RATE) -> DataFrame:
+    """Packets (``native_rate, samples``) at one rate; works on streams, as each packet is handled by itself."""
+    from pyspark.sql import functions as F
+
+    from loomline.functions.signal import resample
+
+    return packets.withColumn("samples", resample(F.col("samples"), F.col("native_rate"), rate).cast("array<float>")).withColumn("native_rate", F.lit(rate))
+
+
 def retimed(segments: DataFrame) -> DataFrame:
     """Phrase-local times (``offset_ms, phrase_ms, start_ms, end_ms``) on the recording's clock, inside the phrase, in order."""
     clamp = "least(greatest({0}, 0), phrase_ms) + offset_ms"
