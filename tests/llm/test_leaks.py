@@ -52,7 +52,7 @@ def leaks(spark, docs, items):
 def test_whole_partial_and_reordered(spark):
     items = {k: passage(60) for k in range(6)}
     w = {k: v.split() for k, v in items.items()}
-    noise = lambda: passage(80, random.Random(RND.random())).upper()[:0] + " ".join(f"noise{RND.randrange(9999)}" for _ in range(60))
+    noise = lambda: " ".join(f"noise{RND.randrange(9999)}" for _ in range(60))
     changed = " ".join(x if n % 7 else "other" for n, x in enumerate(w[3]))
     docs = [
         (1, f"{noise()} {items[0]} {noise()}", 0),
