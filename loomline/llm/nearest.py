@@ -26,7 +26,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomline.session import hadoop_fs, scratch
 
-BUCKET_MS = 600_000
+BUCKET_MS = 3_600_000
 #: Media times start near zero, where Spark's first watermark lies; event times are moved clear of it.
 EPOCH_MS = 4 * 10**12
 #: Times beyond this many ms either way share the outermost event time; matching uses the exact values.
@@ -39,6 +39,8 @@ STATE = "lt array<long>, lr array<string>, rt array<long>, rr array<string>"
 
 
 def _event_ms(t):
+    if isinstance(t, int):
+        return min(max(t, -FAR_MS), FAR_MS) + EPOCH_MS
     return np.clip(t, -FAR_MS, FAR_MS) + EPOCH_MS
 
 
@@ -63,15 +65,19 @@ def _matcher(tolerance: int):
         lt, lr, rt, rr = ([list(x) for x in state.get] if state.exists else [[], [], [], []])
         if not state.hasTimedOut:
             for f in frames:
-                for side, t, ref in ((0, lt, lr), (1, rt, rr)):
-                    own = f[f["side"] == side]
-                    t.extend(own["t"].tolist())
-                    ref.extend(own["ref"].tolist())
+                for side, t, ref in zip(f["side"].tolist(), f["t"].tolist(), f["ref"].tolist()):
+                    if side < 2:
+                        (rt if side else lt).append(t)
+                        (rr if side else lr).append(ref)
         if not lt and not rt:
             return  # the end marker's key
+        watermark = state.getCurrentWatermarkMs()
+        if watermark <= _event_ms(min(lt, default=-FAR_MS)) + tolerance and not state.hasTimedOut and lt:
+            state.update((lt, lr, rt, rr))  # nothing is due, so nothing has to be put in order
+            state.setTimeoutTimestamp(int(max(_event_ms(min(lt)) + tolerance + 1, watermark + 1)))
+            return
         lefts, rights = sorted(set(zip(lt, lr))), sorted(set(zip(rt, rr)))
         l_t = np.array([t for t, _ in lefts], dtype=np.int64)
-        watermark = state.getCurrentWatermarkMs()
         due = _event_ms(l_t) + tolerance <= watermark
         if due.any():
             r_t = np.array([t for t, _ in rights], dtype=np.int64)
