@@ -15,7 +15,7 @@ from loomline.operators.sequence import bucketed, with_latest, with_previous
 
 PARAGRAPH_GAP_MS = 8_000
 NEAR_DUPLICATE_MS = 1_500
-SLOT_MS = 60_000
+SLOT_MS, DAY_MS = 60_000, 86_400_000
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
@@ -84,14 +84,19 @@ def align_speakers(lines: DataFrame, ranges: DataFrame, line_key: str = "pos", l
     lie in, so it counts once. Times below zero count as zero; spans without a time or length overlap nothing.
     """
     clamp = lambda c: F.greatest(F.col(c), F.lit(0))
-    slots = lambda s, e: F.sequence(F.floor(s / SLOT_MS), F.floor((e - 1) / SLOT_MS))
     own = lines.select("recording_id", line_key, "start_ms", "end_ms").filter(F.col("recording_id").isNotNull())
     spans = own.filter("end_ms > start_ms AND end_ms > 0").select("recording_id", line_key, clamp("start_ms").alias("s"), clamp("end_ms").alias("e"))
-    spans = spans.withColumn("slot", F.explode(slots(F.col("s"), F.col("e"))))
     turns = ranges.filter(F.col("recording_id").isNotNull() & F.col(label).isNotNull()).filter("end_ms > start_ms AND end_ms > 0")
     turns = turns.select("recording_id", F.col(label).alias("label"), clamp("start_ms").alias("rs"), clamp("end_ms").alias("re"))
-    turns = turns.withColumn("slot", F.explode(slots(F.col("rs"), F.col("re"))))
-    shared = spans.join(turns, ["recording_id", "slot"]).filter("s < re AND rs < e").filter(F.col("slot") == F.floor(F.greatest("s", "rs") / SLOT_MS))
+
+    def meet(some: DataFrame, others: DataFrame, slot_ms: int) -> DataFrame:
+        slots = lambda a, z: F.explode(F.sequence(F.floor(F.col(a) / slot_ms), F.floor((F.col(z) - 1) / slot_ms)))
+        pairs = some.withColumn("slot", slots("s", "e")).join(others.withColumn("slot", slots("rs", "re")), ["recording_id", "slot"])
+        return pairs.filter("s < re AND rs < e").filter(F.col("slot") == F.floor(F.greatest("s", "rs") / slot_ms))
+
+    # Spans of more than a day would lie in very many slots; the few there are meet the others by days.
+    long_s, long_r = F.col("e") - F.col("s") > DAY_MS, F.col("re") - F.col("rs") > DAY_MS
+    shared = meet(spans.filter(~long_s), turns.filter(~long_r), SLOT_MS).unionByName(meet(spans.filter(long_s), turns, DAY_MS)).unionByName(meet(spans.filter(~long_s), turns.filter(long_r), DAY_MS))
     summed = shared.groupBy("recording_id", line_key, "label").agg(F.sum(F.least("e", "re") - F.greatest("s", "rs")).alias("overlap"))
     best = summed.groupBy("recording_id", line_key).agg(F.min_by(F.struct("label", "overlap"), F.struct(-F.col("overlap"), F.col("label"))).alias("b"))
     return own.select("recording_id", line_key).join(best, ["recording_id", line_key], "left").select("recording_id", line_key, F.coalesce("b.label", F.lit("Other")).alias("label"), F.coalesce("b.overlap", F.lit(0)).alias("overlap_ms"))
