@@ -99,6 +99,17 @@ CONTEXT = {
 _EMPHASIS = re.compile(r"(?<![^\W_])_|_(?![^\W_])")
 
 
+# What a text must hold for a pattern to match at all; looking for it is cheaper than the pattern.
+_NUMBER = re.compile(r"\d")
+_ID_HINTS = ("passport", "reisepass", "pasaporte", "licen", "driv", "führerschein", "carn", "permiso", "tax", "steuer", "nif", "dni", "social", "sozial", "insurance", "seguridad", "ssn", "nino", "itin")
+_STREET_HINTS = (*STRONG_STREETS.split("|"), "close", "court", "drive", "way", "place", "square", "row", "hill", "gardens", "ave", " st", " rd", " ln", "blvd", " ct", " dr", " pl", " sq")
+_GERMAN_HINTS = ("straße", "strasse", "str.", "weg", "gasse", "allee", "platz", "ufer", "damm")
+_SPANISH_HINTS = ("calle", "c/", "avenida", "avda", "plaza", "paseo", "camino")
+_DIGIT_HINTS = tuple(w for w in DIGITS if len(w) > 1)
+#: Words of the shortest spoken number, seven digits with doubles.
+_LEAST_SPOKEN = 4
+
+
 class Span(NamedTuple):
     start: int
     end: int
@@ -215,7 +226,8 @@ def _parts(local: str) -> Iterator[str]:
 
 def find(text: str, names: Names) -> list[Span]:
     """The spans of personal information in ``text``, in order, none overlapping."""
-    text = _EMPHASIS.sub(" ", text)
+    if "_" in text:
+        text = _EMPHASIS.sub(" ", text)
     found: list[Span] = []
     add = lambda m, kind, score, group=0: found.append(Span(m.start(group), m.end(group), kind, score))
     low = text.casefold()
@@ -227,10 +239,13 @@ def find(text: str, names: Names) -> list[Span]:
             add(m, "email", 0.95)
         for m in _EMAIL_SPOKEN.finditer(text):
             add(m, "email", 0.9)
-    digits = any(c.isdigit() for c in text)
+    digits = _NUMBER.search(text) is not None
+    spoken = sum(map(low.count, _DIGIT_HINTS))
+    ids = any(h in low for h in _ID_HINTS)
     if digits:
-        for m in _ID_NAMED.finditer(text):
-            add(m, "id_number", 0.9, "id")
+        if ids:
+            for m in _ID_NAMED.finditer(text):
+                add(m, "id_number", 0.9, "id")
         for m in _ID_NINO.finditer(text):
             add(m, "id_number", 0.8)
         for m in _ID_SSN.finditer(text):
@@ -245,17 +260,17 @@ def find(text: str, names: Names) -> list[Span]:
                 continue
             base = 0.8 if m["intl"] else 0.7 if m["area"] or m["trunk"] else 0.65 if m["us"] else 0.5
             add(m, "phone", base + near(text, *m.span(), "phone"))
-        for rx in (_ADDRESS_DE, _ADDRESS_ES):
-            for m in rx.finditer(text):
+        for rx, hints in ((_ADDRESS_DE, _GERMAN_HINTS), (_ADDRESS_ES, _SPANISH_HINTS)):
+            for m in rx.finditer(text) if any(h in low for h in hints) else ():
                 add(m, "address", 0.75)
-    for m in _SPOKEN.finditer(text):
+    for m in _SPOKEN.finditer(text) if spoken >= _LEAST_SPOKEN else ():
         n = spoken_digits(m.group())
         if 7 <= len(n) <= 15:
             add(m, "phone", 0.6 + near(text, *m.span(), "phone"))
-    for m in _ID_SPOKEN.finditer(text):
+    for m in _ID_SPOKEN.finditer(text) if ids and spoken >= 2 else ():
         if len(spoken_digits(m["id"])) >= 5:
             add(m, "id_number", 0.9, "id")
-    for m in _ADDRESS.finditer(text):
+    for m in _ADDRESS.finditer(text) if any(h in low for h in _STREET_HINTS) else ():
         strong = re.fullmatch(STRONG_STREETS, m["kind"], re.I) is not None
         cased = m["street"][0].isupper() and m["kind"][0].isupper()
         add(m, "address", (0.7 if cased else 0.55 if strong else 0.35) + near(text, *m.span(), "address"))
