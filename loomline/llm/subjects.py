@@ -50,12 +50,14 @@ _HEADING = re.compile(r"^[ \t]*(?:#{1,6}[ \t]+|\*\*)[^.?!\n]{0,80}$", re.M)
 _END = re.compile(r"(?<=[.?!…])[\s\"'”»*_)]+|;\s+(?=[A-ZÀ-Þ])|\n[ \t]*\n")
 _LINE = re.compile(r"\n[ \t]*(?=[*+-][ \t]|\[|\(\d|[A-Z]\d?:|\*\*|>>|(?:speaker|spk)\b|\d+:\d)", re.I)
 _WORD = re.compile(r"[^\W\d_]{2,}")
+#: Combining marks, soft hyphens and marks of no width.
+_UNSEEN = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f\u00ad\u200b-\u200d\ufeff]")
 
 
 def normal(text: str) -> str:
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c) and c not in "\u00ad\u200b\u200c\u200d\ufeff")
+        text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
     return text
 
 
