@@ -40,6 +40,7 @@ _MARKS = re.compile(r"\[[\d:.,]+\]|\(\d+:\d\d\)|<\d+\.\d+>|\d+:\d\d:\d\d(?:\.\d+
 _HUM = re.compile(r"(?:u+[hm]+|e+r+m*|[äa]+h+m*|e+u*h+m*|h+m+|m{2,}|m+h+m+)\Z")
 _WORD = re.compile(r"[^\W_]+")
 _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+_COMBINING = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
 _SENTENCE = re.compile(r"(?<=[.!?:])\s+|\n\s*\n")
 
 
@@ -47,8 +48,8 @@ def tokens(text: str) -> list[str]:
     """Words without case, accents, marks and hesitations."""
     text = _MARKS.sub(" ", _HIDDEN.sub("", text))
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return [w for w in _WORD.findall(text.casefold()) if not _HUM.match(w)]
+        text = _COMBINING.sub("", unicodedata.normalize("NFKD", text))
+    return [w for w in _WORD.findall(text.casefold()) if w[0] not in "uerhmäa" or not _HUM.match(w)]
 
 
 def passages(items: list[tuple[int, str]]) -> dict[int, list[str]]:
