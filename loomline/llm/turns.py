@@ -1,16 +1,20 @@
 """Transcript lines into clean, ordered speaker turns (problem 3).
 
-Method: line templates are mined with fixed-depth token trees. The head of a line, up to a closing mark such as
-``:``, ``]``, ``)``, ``>`` or ``-``, is a unit; units go down a tree by length and first tokens, and alike units at a
-leaf share a template whose differing tokens are wildcards. Each partition mines its own tree, bounded in depth,
-children and templates; counts are added up by template. A template whose number slots agree with the lines'
-start times is a time mark; one whose word slots mostly read as speaker labels is a speaker mark; a
-bracketed one that is neither is an annotation. Extraction peels units off the heads by these roles; merge
-rules then join neighbouring lines of one speaker into turns.
-
-Scale: two passes over the text, each a map; between them only templates, their number bounded by the tree,
-reach the driver. Turns come from look-backs split by (recording, time bucket), so a recording with a third of all
-lines is spread over many tasks.
+Method: line templates are mined with a fixed-depth token tree. The head of a line, up to a closing mark such as
+``:``, ``]``, ``)``, ``>`` or ``-``, is a unit. A unit goes down the tree by its layout (its marks, with numbers and words
+as slots), then by its first and second word, where parts of known names are masked. Every node counts its lines, those
+whose number slot agrees with the line's start, and those whose word slot reads as a label. A unit's role is that of the
+deepest node on its path that holds enough lines: a time mark, a speaker mark, or neither. Extraction peels units off
+the heads by these roles; merge rules then join neighbouring lines of one speaker into turns.
+
+A node's place depends on nothing but the unit itself, so counts of partitions simply add up and results don't depend
+on how lines are spread. Nodes under ``LEAST_SHARE`` of all heads lend their lines to the nodes above; where even the
+layout is that rare, a unit is judged by its own line: a time must agree with the line's start, and a label be a full name or a
+speaker word with its number.
+
+Scale: two passes over the text, each a map; between them at most ``DEPTH / LEAST_SHARE`` nodes reach the driver,
+however large the corpus. Turns come from look-backs split by (recording, time bucket), so a recording with a third of
+all lines is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -32,9 +36,12 @@ MAX_NAMES = 100_000
 #: Readings a worker remembers.
 MAX_REMEMBERED = 65_536
 
-#: Bounds of a tree, and with them of what a partition reports.
-DEPTH, MAX_CHILDREN, MAX_TEMPLATES, ALIKE = 4, 48, 4_000, 0.5
-MAX_UNIT_TOKENS, MAX_UNIT_WORDS = 14, 3
+#: Levels of the tree, and the share of all heads a node must hold to give its lines a role.
+DEPTH, LEAST_SHARE = 3, 1e-4
+#: Slots of a layout that tell it from others; longer ones that begin alike are one.
+LAYOUT_SLOTS = 24
+#: Nodes a task counts before it hands them on; sums over tasks are the same whatever it is.
+MAX_COUNTED = 50_000
 #: A number slot agrees with a line's start if they are this close.
 TIME_SLACK_MS = 2_000
 ROLE_SHARE = 0.5
@@ -49,11 +56,11 @@ _HESITATION = re.compile(rf"(?<![\w'’-]){HUM}(?:-{HUM})*(?![\w'’]|-\w)(?:\s*
 _GERMAN = re.compile(r"\b(?:der|die|das|und|ist|ich|nicht|mit|wir|zu|zum|ging|noch|war)\b", re.I)
 _GERMAN_ER = re.compile(r"er\Z", re.I)
 #: Annotations: anything in square, round, curly or angle brackets or between asterisks without sentence-like content, and notes.
-_ANNOTATION = re.compile(r"\[[^\[\]@\n]{1,60}\]|\{[^{}\n]{1,60}\}|<[^<>@\n]{1,60}>|\*[^*\n]{1,40}\*|\((?:[^\W\d_]|[ _'’-]|\b\d\b){1,40}\)|[♪♫♩]+")
+_ANNOTATION = re.compile(r"\[(?!\s*(?:at|dot)\s*\])[^\[\]@\n]+\]|\{(?!\s*(?:at|dot)\s*\})[^{}\n]+\}|<[^<>@\n]+>|\*[^*\n]+\*|\((?!\s*(?:at|dot)\s*\))(?:[^\W\d_]|[ _'’-]|\b\d\b)+\)|[♪♫♩]+")
 _TIME = re.compile(r"\d+(?::\d\d){1,2}(?:[.,]\d+)?|\d+[.,]\d+")
-_TOKEN = re.compile(r"\s+|\d+|[^\W\d_]+|_|[^\w\s]")
-_CLOSERS = set(":])>}-–—|")
-_CLOSED = re.compile(r"[:\])>}–—|-](?:\s|\Z)")
+_CLOSED = re.compile(r"[:\])>}–—|-](?=\s|\Z)")
+_SLOT = re.compile(r"[^\W\d_](?:[\w.,'’ -]*[\w.])?|\d+|\s+|(?P<mark>[^\w\s])(?P=mark)*")
+_SLOT_WORD = re.compile(r"[^\W\d_]+")
 _BRACKET = re.compile(r"[\[{<*(♪♫♩]")
 _WORDLIKE = re.compile(r"[^\W_]")
 
@@ -83,6 +90,7 @@ class Labels:
                     keys.setdefault(fold(spelt), set()).add(name)
         self.people = {k: next(iter(v)) for k, v in keys.items() if len(v) == 1}
         self.full = {fold(n) for n in names if len(n.split()) > 1}
+        self.parts = {fold(w) for n in names for w in _SLOT_WORD.findall(n) if len(w) > 1}
         self.seen: dict[str, str | None] = {}
 
     def read(self, label: str) -> str | None:
@@ -106,29 +114,24 @@ class Labels:
         return bare in self.full or (bool(_NUMBERED.match(bare)) and len(bare) > 3)
 
 
-def unit(text: str) -> tuple[tuple[str, ...], str, str] | None:
-    """The unit at the head of ``text``: its tokens with digits masked, the unit itself, and the rest."""
-    if _CLOSED.search(text) is None:
+def unit(text: str) -> tuple[str, str] | None:
+    """The unit at the head of ``text`` and the rest; None if the first line has no closing mark after a word or number."""
+    text = text.lstrip()
+    m = _CLOSED.search(text)
+    while m is not None and not _WORDLIKE.search(text, 0, m.end()):
+        m = _CLOSED.search(text, m.end())
+    if m is None or text.find("\n", 0, m.end()) >= 0:
         return None
-    tokens, words, at = [], 0, 0
-    for m in _TOKEN.finditer(text):
-        tok = m.group()
-        if tok.isspace():
-            if not tokens:
-                at = m.end()
-                continue
-            if "\n" in tok:
-                return None
-            tokens.append(" ")
-            continue
-        word = tok[0].isalpha()
-        words += word
-        if words > MAX_UNIT_WORDS or len(tokens) >= MAX_UNIT_TOKENS:
-            return None
-        tokens.append("0" if tok[0].isdigit() else tok.casefold() if word else tok)
-        if tok in _CLOSERS and (m.end() == len(text) or text[m.end()].isspace()) and any(t == "0" or t[0].isalpha() for t in tokens):
-            return tuple(tokens), text[at : m.end()], text[m.end() :]
-    return None
+    return text[: m.end()], text[m.end() :]
+
+
+def path(own: str, parts: set[str]) -> tuple[str, str, str]:
+    """A unit's way down the tree: its layout, its first and its second word; parts of known names are masked."""
+    kind = lambda m: "0" if m[0].isdigit() else "w" if m[0].isalpha() else " " if m[0].isspace() else m[0]
+    layout = "".join(kind(m.group()) for m in _SLOT.finditer(own)).replace(" ", "")[:LAYOUT_SLOTS]
+    words = [m.group() for m, _ in zip(_SLOT_WORD.finditer(own), range(DEPTH - 1))]
+    first, second = ["<name>" if fold(w) in parts else w.casefold() for w in words] + [""] * (DEPTH - 1 - len(words))
+    return layout, first, second
 
 
 def slot_time(u: str) -> list[int]:
@@ -148,47 +151,20 @@ def slot_label(u: str) -> str:
 
 
 class TokenTree:
-    """Fixed-depth tree: by number of tokens, then by the first tokens; full nodes and leaves fall back to wildcards."""
+    """Counts of the nodes on the paths of units: [lines, lines with agreeing time, lines with a label]."""
 
     def __init__(self) -> None:
-        self.root: dict = {}
-        self.templates = 0
-
-    def add(self, tokens: tuple[str, ...]) -> list:
-        """The group ``tokens`` belong to: [template, lines, lines with agreeing time, lines with a label]."""
-        node = self.root.setdefault(len(tokens), {})
-        for tok in tokens[:DEPTH]:
-            if tok not in node and len(node) >= MAX_CHILDREN and tok != "*":
-                tok = "*"
-            node = node.setdefault(tok, {})
-        groups = node.setdefault(None, [])
-        best = max(groups, key=lambda g: self.alike(g[0], tokens), default=None)
-        if best and (self.alike(best[0], tokens) >= ALIKE or self.templates >= MAX_TEMPLATES):
-            best[0] = tuple(a if a == b else "*" for a, b in zip(best[0], tokens))
-            return best
-        self.templates += 1
-        groups.append([tokens, 0, 0, 0])
-        return groups[-1]
+        self.nodes: dict[tuple[str, ...], list[int]] = {}
+
+    def add(self, way: tuple[str, ...], timed: bool, labelled: bool) -> None:
+        for depth in range(1, DEPTH + 1):
+            n = self.nodes.setdefault(way[:depth], [0, 0, 0])
+            n[0] += 1
+            n[1] += timed
+            n[2] += labelled
 
-    @staticmethod
-    def alike(template: tuple[str, ...], tokens: tuple[str, ...]) -> float:
-        """Share of the tokens that agree; layouts with other marks or numbers in a place are never alike."""
-        same = 0
-        for a, b in zip(template, tokens):
-            if a == b:
-                same += 1
-            elif not ((a == "*" or a[0].isalpha()) and b[0].isalpha()):
-                return 0.0
-        return same / len(tokens)
-
-    def groups(self) -> Iterator[list]:
-        stack = list(self.root.values())
-        while stack:
-            for k, v in stack.pop().items():
-                if k is None:
-                    yield from v
-                else:
-                    stack.append(v)
+
+Roles = dict[tuple[str, ...], str | None]
 
 
 def read_names(names: DataFrame, column: str = "name") -> list[str]:
@@ -198,76 +174,67 @@ def read_names(names: DataFrame, column: str = "name") -> list[str]:
     return sorted(r.n for r in rows)
 
 
-def mine_layouts(lines: DataFrame, labels: Labels) -> dict[tuple[str, ...], str]:
-    """Role of each layout: ``time``, ``speaker`` or ``note``. ``lines`` has ``text`` and ``start_ms``."""
+def mine_layouts(lines: DataFrame, labels: Labels) -> Roles:
+    """Role of each node that holds enough lines: ``time``, ``speaker`` or None. ``lines`` has ``text`` and ``start_ms``; lines without one don't count."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree = TokenTree()
+
+        def counted() -> pd.DataFrame:
+            rows = [("\x1f".join(t), *n) for t, n in tree.nodes.items()]
+            tree.nodes.clear()
+            return pd.DataFrame(rows, columns=["node", "n", "timed", "labelled"])
+
         for f in frames:
             for text, start in zip(f["text"], f["start_ms"]):
-                for _ in range(3):
-                    if not isinstance(text, str) or (u := unit(text)) is None:
-                        break
-                    tokens, own, text = u
-                    g = tree.add(tokens)
+                while (u := unit(text)) is not None:
+                    own, text = u
                     times = slot_time(own)
-                    g[1] += 1
-                    g[2] += bool(times) and (start != start or abs(times[0] - start) <= TIME_SLACK_MS)
-                    g[3] += labels.read(slot_label(own)) is not None
-        rows = [("\x1f".join(t), n, a, b) for t, n, a, b in tree.groups()]
-        yield pd.DataFrame(rows, columns=["template", "n", "timed", "labelled"])
+                    label = labels.read(slot_label(own)) is not None
+                    tree.add(path(own, labels.parts), bool(times) and abs(times[0] - start) <= TIME_SLACK_MS, label)
+                    if not times and not label and not _ANNOTATION.fullmatch(own):
+                        break  # extraction never looks beyond such a unit
+            if len(tree.nodes) > MAX_COUNTED:
+                yield counted()
+        yield counted()
 
     closed = F.col("text").rlike(r"(?U)[:\])>}–—|-](\s|\z)")  # else there is no unit
-    mined = lines.select("text", F.col("start_ms").cast("double").alias("start_ms")).filter(closed).mapInPandas(run, "template string, n long, timed long, labelled long")
-    summed = mined.groupBy("template").agg(F.sum("n").alias("n"), F.sum("timed").alias("timed"), F.sum("labelled").alias("labelled"))
-    # Only layouts with a role are of use, and a tree bounds how many there are.
-    useful = summed.filter((F.col("timed") >= ROLE_SHARE * F.col("n")) | (F.col("labelled") >= ROLE_SHARE * F.col("n")) | F.col("template").rlike(r"^[\[({<*]"))
-    roles = {}
-    for r in useful.toLocalIterator():
-        tokens = tuple(r.template.split("\x1f"))
-        roles[tokens] = "time" if r.timed >= ROLE_SHARE * r.n else "speaker" if r.labelled >= ROLE_SHARE * r.n else "note"
+    mined = lines.select("text", F.col("start_ms").cast("long").alias("start_ms")).filter(closed & F.col("start_ms").isNotNull()).mapInPandas(run, "node string, n long, timed long, labelled long")
+    summed = mined.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n", "timed", "labelled")])
+    summed = checkpointed(summed, "layouts")
+    heads = summed.filter(~F.contains("node", F.lit("\x1f"))).agg(F.sum("n")).first()[0] or 0  # the layouts themselves
+    roles: Roles = {}
+    for r in summed.filter(F.col("n") >= LEAST_SHARE * heads).toLocalIterator():
+        roles[tuple(r.node.split("\x1f"))] = "time" if r.timed >= ROLE_SHARE * r.n else "speaker" if r.labelled >= ROLE_SHARE * r.n else None
     return roles
 
 
 class Extractor:
     """Applies mined layouts to lines."""
 
-    def __init__(self, roles: dict[tuple[str, ...], str], labels: Labels) -> None:
-        self.labels, self.exact = labels, {t: r for t, r in roles.items() if "*" not in t}
-        self.loose: dict[int, list] = {}
-        for t, r in roles.items():
-            if "*" in t:
-                self.loose.setdefault(len(t), []).append((t, r))
-        self.seen: dict[tuple[str, ...], str | None] = {}
-
-    def role(self, tokens: tuple[str, ...]) -> str | None:
-        if tokens in self.exact:
-            return self.exact[tokens]
-        if tokens not in self.seen:
-            if len(self.seen) >= MAX_REMEMBERED:
-                self.seen.clear()
-            self.seen[tokens] = self._role(tokens)
-        return self.seen[tokens]
+    def __init__(self, roles: Roles, labels: Labels) -> None:
+        self.labels, self.roles = labels, roles
 
-    def _role(self, tokens: tuple[str, ...]) -> str | None:
-        fits = lambda t: all(a == b or (a == "*" and b[0].isalpha()) for a, b in zip(t, tokens))
-        return next((r for t, r in self.loose.get(len(tokens), ()) if fits(t)), None)
+    def role(self, own: str, fallback: str | None) -> str | None:
+        """That of the deepest node on the unit's path; ``fallback`` if its layout is too rare to have one."""
+        way = path(own, self.labels.parts)
+        return next((self.roles[way[:d]] for d in range(DEPTH, 0, -1) if way[:d] in self.roles), fallback)
 
-    def line(self, text: str) -> tuple[str | None, str]:
+    def line(self, text: str, start: int | None = None) -> tuple[str | None, str]:
         """The label marked at the head, and the text without marks, annotations and hesitations."""
         label = None
         while (u := unit(text)) is not None:
-            tokens, own, rest = u
-            role = self.role(tokens)
+            own, rest = u
             slot = slot_label(own)
-            if role == "time" and slot_time(own):
-                text = rest
-            elif (role == "speaker" or self.labels.plain(slot)) and (read := self.labels.read(slot)):
-                label, text = label or read, rest
-            elif role in ("note", None) and _ANNOTATION.fullmatch(own):
-                text = rest
-            else:
+            if times := slot_time(own):
+                agrees = start is not None and abs(times[0] - start) <= TIME_SLACK_MS
+                if self.role(own, "time" if agrees else None) != "time" and not _ANNOTATION.fullmatch(own):
+                    break
+            elif (read := self.labels.read(slot)) and (self.labels.plain(slot) or self.role(own, None) == "speaker"):
+                label = label or read
+            elif not _ANNOTATION.fullmatch(own):
                 break
+            text = rest
         return label, self.clean(text)
 
     @staticmethod
@@ -289,28 +256,25 @@ def label_lines(lines: DataFrame, names: DataFrame) -> DataFrame:
     ``lines`` has these columns and ``source``. Not counted: lines with a null recording, start or text, and those
     without words. Labels that name no one become ``Other``. Repeats stay; other columns are dropped.
     """
+    rows = lines.select("recording_id", F.coalesce(F.col("pos"), F.lit(-1)).cast("long").alias("pos"), F.col("start_ms").cast("long").alias("start_ms"), F.coalesce(F.col("end_ms"), F.col("start_ms")).cast("long").alias("end_ms"), "speaker", "text", "source")
+    rows = rows.filter("recording_id IS NOT NULL AND start_ms IS NOT NULL AND text IS NOT NULL")
     labels = Labels(read_names(names))
-    roles = mine_layouts(lines, labels)
+    shipped = lines.sparkSession.sparkContext.broadcast((mine_layouts(rows, labels), labels))
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ex = Extractor(roles, labels)
+        ex = Extractor(*shipped.value)
         for f in frames:
             speakers, texts = [], []
-            for text, own, source in zip(f["text"], f["speaker"], f["source"]):
-                marked, clean = ex.line(text)
+            for text, own, source, start in zip(f["text"], f["speaker"], f["source"], f["start_ms"].tolist()):
+                marked, clean = ex.line(text, start)
                 if isinstance(own, str) and own.strip():
-                    who = labels.read(own.strip()) or "Other"
+                    who = ex.labels.read(own.strip()) or "Other"
                 else:
                     who = marked or ("Out" if source == "speaker" else "In")
                 speakers.append(who)
                 texts.append(clean)
-            yield f.drop(columns=["source"]).assign(speaker=speakers, text=texts)[texts_mask(texts)]
-
-    def texts_mask(texts: list[str]) -> list[bool]:
-        return [bool(t) for t in texts]
+            yield f.drop(columns=["source"]).assign(speaker=speakers, text=texts)[[bool(t) for t in texts]]
 
-    rows = lines.select("recording_id", F.coalesce(F.col("pos"), F.lit(-1)).cast("long").alias("pos"), F.col("start_ms").cast("long").alias("start_ms"), F.coalesce(F.col("end_ms"), F.col("start_ms")).cast("long").alias("end_ms"), "speaker", "text", "source")
-    rows = rows.filter("recording_id IS NOT NULL AND start_ms IS NOT NULL AND text IS NOT NULL")
     return rows.mapInPandas(run, "recording_id string, pos long, start_ms long, end_ms long, speaker string, text string")
 
 

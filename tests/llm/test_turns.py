@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from loomline.llm.turns import Extractor, Labels, TokenTree, label_lines, mine_layouts, turns, unit
+from loomline.llm.turns import Extractor, Labels, TokenTree, label_lines, mine_layouts, path, turns, unit
 
 NAMES = ["Ann Bell", "Bo Cole-Dorn", "Cy Dane"]
 LINES = "recording_id string, pos int, start_ms bigint, end_ms bigint, text string, source string, speaker string, prev string"
@@ -23,20 +23,19 @@ def test_labels_in_any_spelling():
 
 
 def test_units():
-    assert unit("[00:01:02] x")[1:] == ("[00:01:02]", " x")
-    assert unit(">> Speaker 1: hi")[1] == ">> Speaker 1:" and unit("00:00:01.250 --> hi")[1] == "00:00:01.250 -->"
-    assert unit("just some words here: yes") is None and unit("") is None and unit("a" * 5000) is None
+    assert unit(" [00:01:02] x") == ("[00:01:02]", " x")
+    assert unit(">> Speaker 1: hi")[0] == ">> Speaker 1:" and unit("00:00:01.250 --> hi")[0] == "00:00:01.250 -->"
+    assert unit("one\ntwo: yes") is None and unit("") is None and unit("a" * 5000) is None and unit("-- : !") is None
 
 
-def test_tree_groups_alike_layouts():
+def test_paths_depend_on_the_unit_alone():
+    parts = Labels(NAMES).parts
+    assert path("[00:01:02]", parts) == ("[0:0:0]", "", "") and path("00:00:01.250 -->", parts) == ("0:0:0.0->", "", "")
+    assert path("Ann Bell:", parts) == path("bell, ann:", parts) == ("w:", "<name>", "<name>") and path("In short:", parts) == ("w:", "in", "short")
     tree = TokenTree()
     for w in ("one", "two", "three"):
-        tree.add(("speaker", " ", w, ":"))[1] += 1
-    tree.add(("[", "0", "]"))[1] += 1
-    assert {(t, n) for t, n, *_ in tree.groups()} >= {(("[", "0", "]"), 1)}
-    for i in range(500):
-        tree.add((f"w{i}", ":"))
-    assert len(tree.root[2]) <= 49
+        tree.add(path(f"Speaker {w}:", parts), False, True)
+    assert tree.nodes[("w:",)] == tree.nodes[("w:", "speaker")] == [3, 0, 3] and tree.nodes[("w:", "speaker", "two")] == [1, 0, 1]
 
 
 def corpus(n=400, seed=1):
@@ -74,14 +73,32 @@ def test_roles_are_inferred(spark, names):
     rows, _ = corpus()
     labels = Labels(NAMES)
     roles = mine_layouts(spark.createDataFrame(rows, LINES), labels)
-    assert roles[("[", "0", ":", "0", ":", "0", "]")] == "time" and roles[("(", "0", ":", "0", ")")] == "time"
-    assert any(r == "speaker" for r in roles.values()) and ("in", " ", "short", ":") not in roles
+    assert roles[("[0:0:0]",)] == "time" and roles[("(0:0)",)] == "time"
+    assert roles[("w:", "speaker")] == "speaker" and roles[("w:", "in", "short")] is None
     ex = Extractor(roles, labels)
     assert ex.line("[00:00:01] (laughs) Speaker 2: Hm, fine") == ("Speaker 2", "fine")
     assert ex.line("In short: fine")[0] is None and ex.line("♪ mm-hmm ...")[1] == ""
     assert ex.clean("dass er kommt und geht") == "dass er kommt und geht"
 
 
+def test_no_layout_is_too_long_or_too_rare(spark):
+    """A four-word name, a long annotation, five units at one head, and 10,000 layouts, in one partition and in many."""
+    names = spark.createDataFrame([("Ana Maria Garcia Lopez",), ("Bo Cole",)], "name string")
+    clock = lambda ms: f"[00:{ms // 60_000 % 60:02}:{ms // 1000 % 60:02}]"
+    marks = "!#$%&/=?^~+;"
+    rows = []
+    for i in range(10_000):
+        t = i * 7_000
+        odd = "".join(marks[i // 12**k % 12] for k in range(4))
+        head = ["Ana Maria Garcia Lopez: ", f"[{'people talk ' * 8}] ", f"{clock(t % 3_600_000)} [MUSIC] (laughs) {{static}} Bo Cole: ", f"{odd} word: "][i % 4]
+        rows.append(("r", i, t % 3_600_000 if i % 4 == 2 else t, t + 1, head + "hello there", "mic", None, ""))
+    df = spark.createDataFrame(rows, LINES)
+    one, many = (sorted(tuple(r) for r in label_lines(df.repartition(n, "pos"), names).select("pos", "speaker", "text").collect()) for n in (1, 9))
+    assert one == many
+    assert [(r[1], r[2]) for r in one[:3]] == [("Ana Maria Garcia Lopez", "hello there"), ("In", "hello there"), ("Bo Cole", "hello there")]
+    assert all(r[2].endswith("word: hello there") for r in one[3::4]) and {r[1] for r in one[2::4]} == {"Bo Cole"}
+
+
 def test_nulls_ties_and_empty(spark, names):
     rows = [(None, 1, 0, 1, "a", None, None, ""), ("r", None, 5, 6, "null place", None, None, ""), ("r", 2, None, 1, "c", None, None, ""), ("r", 3, 7, None, None, None, None, ""), ("r", 5, 9, None, "b", "speaker", "", ""), ("r", 4, 9, 3, "z" * 100_000, "speaker", None, "")]
     df = spark.createDataFrame(rows, LINES)
