@@ -5,34 +5,39 @@ For each pair whose seeds could cover enough of the passage, the longest common
 are found with running Karp-Rabin hashes, from long to short, and marked as tiles, so no token is counted twice
 and passages in another order or in pieces still count. Tiles' share of the passage decides.
 
-Words that many items' passages share say nothing about which item leaked, so tiles must also hold enough of the words,
-or long enough runs of words, that tell a passage from the others.
+Words that many passages share say nothing about which item leaked, so a word counts by one over the number of passages
+that have it, and tiles must also hold enough of that weight, or long enough runs of words that only this passage has.
 
-Scale: one map over the documents. The items' n-gram index is built once; items come in blocks of bounded size, each
-of which is shipped to the workers and held against all documents. Only seeds near each other are tiled, so
-a document costs its length plus its shared parts.
+Scale: one map over the documents. The items' n-gram index is built once, on the driver, as sorted arrays; a worker
+reads it once. Items come in blocks of bounded size; where there are several, the documents are split into words once,
+written, and each block is held against the stored words. Only seeds near each other are tiled, so a document costs its
+length plus its shared parts.
 """
 
 from __future__ import annotations
 
 import re
+import statistics
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.session import checkpointed
+
 #: Share of a passage that must be found, and the shortest tile.
 SHARE, MIN_TILE = 1 / 3, 3
-#: Leading sentences that this many items have in common are instructions.
-SHARED_BY = 3
-#: Tokens of a block of items shipped to the workers at once; the index of one takes some 100 MB.
-BLOCK_TOKENS = 500_000
+#: Leading sentences after which items go on in this many ways, at greater length, are an instruction.
+WAYS = 3
+#: Tokens of a block of items shipped to the workers at once; three word numbers of a block fit a long.
+BLOCK_TOKENS = 2_000_000
 MAX_TOKENS = 20_000_000
-#: A word in more than this share of the items says little about one. Of a passage's other words this part of the share must be tiled, or the share in tiles with runs of so many words that only it has.
-COMMON, OWN_RUN, OWN_SHARE = 0.005, 8, 0.5
+#: Part of the share that a passage's weight of own words must reach, or the share itself in tiles with runs of so many words that only it has.
+OWN_SHARE, OWN_RUN = 0.5, 8
 #: Words the two sides of a bridged change may differ by.
 BRIDGE = 2
 
@@ -53,75 +58,125 @@ def tokens(text: str) -> list[str]:
 
 
 def passages(items: list[tuple[int, str]]) -> dict[int, list[str]]:
-    """Tokens of each item's own passage: leading sentences that several items share are cut off."""
-    split = {i: [s for s in _SENTENCE.split(_HIDDEN.sub("", t)) if s.strip()] for i, t in items}
-    heads = Counter(" ".join(tokens(s)) for ss in split.values() for s in ss)
+    """Tokens of each item's own passage, without an instruction before it.
+
+    Leading sentences are an instruction if items that share them go on in at least ``WAYS`` different ways and mostly
+    at greater length. A passage with several questions goes on in several ways, too, but the questions are shorter.
+    """
+    split = {i: [w for s in _SENTENCE.split(_HIDDEN.sub("", t)) if (w := tokens(s))] for i, t in items}
+    places: dict[tuple[int, str], int] = {}
+    ways: dict[int, set[str]] = defaultdict(set)
+    rest: dict[int, list[int]] = defaultdict(list)
+
+    def prefixes(ss: list[list[str]]) -> Iterator[tuple[int, int, int]]:
+        """Number of sentences so far, words in them, and the place of that beginning among all."""
+        place = words = 0
+        for k, s in enumerate(ss[:-1], 1):
+            place = places.setdefault((place, " ".join(s)), len(places) + 1)
+            words += len(s)
+            yield k, words, place
+
+    for ss in {tuple(map(tuple, ss)): ss for ss in split.values()}.values():
+        total = sum(map(len, ss))
+        for k, words, place in prefixes(ss):
+            ways[place].add(" ".join(ss[k]))
+            rest[place].append(total - words)
     out = {}
     for i, ss in split.items():
-        k = 0
-        while k < len(ss) - 1 and heads[" ".join(tokens(ss[k]))] >= SHARED_BY:
-            k += 1
-        out[i] = tokens(" ".join(ss[k:]))
+        told = [k for k, words, place in prefixes(ss) if len(ways[place]) >= WAYS and statistics.median(rest[place]) >= words]
+        out[i] = [w for s in ss[max(told, default=0) :] for w in s]
     return {i: p for i, p in out.items() if p}
 
 
-def telling(items: dict[int, list[str]]) -> dict[int, tuple[list[bool], list[bool]]]:
-    """What tells each passage from the others: rare words, and the starts of runs of ``OWN_RUN`` words that only it has."""
-    df = Counter(w for p in items.values() for w in set(p))
-    most = max(2, COMMON * len(items))
+def telling(items: dict[int, list[str]]) -> dict[int, tuple[list[float], list[bool]]]:
+    """What tells each passage from the others: the weight of each word, and the starts of runs of ``OWN_RUN`` words that only it has."""
     run_of = lambda p: [tuple(p[i : i + OWN_RUN]) for i in range(len(p) - OWN_RUN + 1)]
-    runs = Counter(g for p in items.values() for g in set(run_of(p)))
-    return {i: ([df[w] <= most for w in p], [runs[g] == 1 for g in run_of(p)]) for i, p in items.items()}
+    different = {tuple(p) for p in items.values()}
+    df = Counter(w for p in different for w in set(p))
+    runs = Counter(g for p in different for g in set(run_of(p)))
+    return {i: ([1 / df[w] for w in p], [runs[g] == 1 for g in run_of(p)]) for i, p in items.items()}
 
 
 class Index:
-    """n-grams of a block of items, and how many items of all have each word."""
-
-    def __init__(self, block: dict[int, list[str]], own: dict[int, tuple[list[bool], list[bool]]] | None = None, n: int = MIN_TILE) -> None:
-        self.n, self.items = n, block
-        self.own = telling(block) if own is None else own
-        self.seeds: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
-        for i, p in block.items():
-            for at in range(len(p) - n + 1):
-                self.seeds[tuple(p[at : at + n])].append((i, at))
-        self.seeds = dict(self.seeds)
+    """A block of items: their words by number, and where each n-gram stands, in sorted arrays."""
+
+    def __init__(self, block: dict[int, list[str]], own: dict[int, tuple[list[float], list[bool]]] | None = None, n: int = MIN_TILE) -> None:
+        self.n, self.keys = n, list(block)
+        own = telling(block) if own is None else own
+        self.number: dict[str, int] = {}
+        self.passages = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in p]) for p in block.values()]
+        self.base = len(self.number) + 1
+        self.weight = [np.array(own[i][0]) for i in block]
+        self.alone = [np.array(own[i][1], bool) for i in block]
+        codes = [self.codes(p) for p in self.passages]
+        code = np.concatenate([np.zeros(0, np.int64), *codes])
+        order = np.argsort(code, kind="stable")
+        self.grams, self.first = np.unique(code[order], return_index=True)
+        self.last = np.append(self.first[1:], len(code))
+        self.item = np.repeat(np.arange(len(codes), dtype=np.int32), [len(c) for c in codes])[order]
+        self.place = np.concatenate([np.zeros(0, np.int32), *(np.arange(len(c), dtype=np.int32) for c in codes)])[order]
+
+    def codes(self, ids: np.ndarray) -> np.ndarray:
+        """A number for each n-gram; -1 where a word of it is in no passage."""
+        if len(ids) < self.n:
+            return np.zeros(0, np.int64)
+        out, known = np.zeros(len(ids) - self.n + 1, np.int64), np.ones(len(ids) - self.n + 1, bool)
+        for k in range(self.n):
+            part = ids[k : k + len(out)]
+            out = out * self.base + part
+            known &= part > 0
+        return np.where(known, out, -1)
 
     def find(self, words: list[str], share: float = SHARE) -> dict[int, tuple[int, int]]:
         """For each item that reaches the share: tokens tiled, tokens of the passage."""
-        n, seeds = self.n, self.seeds
-        hits: dict[int, list[tuple[int, int]]] = {}
-        grams = zip(*(words[k:] for k in range(n)))
-        for at, g in enumerate(grams):
-            if g in seeds:
-                for item, p in seeds[g]:
-                    hits.setdefault(item, []).append((at, p))
+        n, number = self.n, self.number
+        ids = np.fromiter((number.get(w, 0) for w in words), np.int64, len(words))
+        code = self.codes(ids)
+        if not len(self.grams) or not len(code):
+            return {}
+        slot = np.minimum(np.searchsorted(self.grams, code), len(self.grams) - 1)
+        at = np.flatnonzero(self.grams[slot] == code)
+        if not len(at):
+            return {}
+        slot = slot[at]
+        many = self.last[slot] - self.first[slot]
+        flat = np.repeat(self.first[slot] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        item, place, at = self.item[flat], self.place[flat], np.repeat(at, many)
+        order = np.argsort(item, kind="stable")
+        item, place, at = item[order], place[order], at[order]
         out = {}
-        for item, pairs in hits.items():
-            passage = self.items[item]
+        starts = np.flatnonzero(np.append(True, item[1:] != item[:-1]))
+        for a, b in zip(starts, np.append(starts[1:], len(item))):
+            i = item[a]
+            passage = self.passages[i]
             need = share * len(passage)
-            reach = {p + k for _, p in pairs for k in range(n)}
-            if len(reach) < need * 0.6:  # bridged words can add to what seeds reach
+            if (b - a) * n < need * 0.6:
+                continue
+            reach = np.zeros(len(passage) + n, bool)
+            for k in range(n):
+                reach[place[a:b] + k] = True
+            if reach.sum() < need * 0.6:  # bridged words can add to what seeds reach
                 continue
-            rare, alone = self.own[item]
-            tiled, tiles = covered(words, passage, pairs, n)
+            tiled, tiles = covered(ids, passage, at[a:b], n)
             if tiled < need:
                 continue
-            own = sum(sum(rare[j : j + k]) for j, k in tiles)
-            long = sum(k for j, k in tiles if k >= OWN_RUN and any(alone[j : j + k - OWN_RUN + 1]))
-            if own >= OWN_SHARE * share * sum(rare) or long >= need:
-                out[item] = (tiled, len(passage))
+            weight, alone = self.weight[i], self.alone[i]
+            own = sum(weight[j : j + k].sum() for j, k in tiles)
+            long = sum(k for j, k in tiles if k >= OWN_RUN and alone[j : j + k - OWN_RUN + 1].any())
+            if own >= OWN_SHARE * share * weight.sum() or long >= need:
+                out[self.keys[i]] = (int(tiled), len(passage))
         return out
 
 
 _BASE, _MOD = 1_000_003, (1 << 61) - 1
 
 
-def tile(doc: list[str], passage: list[str], n: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling by running Karp-Rabin: (place in doc, place in passage, length), longest first."""
-    code: dict[str, int] = {}
+def tile(doc: list, passage: list, n: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling by running Karp-Rabin: (place in doc, place in passage, length), longest first. Zeros in ``doc`` are gaps no tile can cross."""
+    code: dict = {}
     d = [code.setdefault(w, len(code) + 1) for w in doc]
     p = [code.setdefault(w, len(code) + 1) for w in passage]
-    d_free, p_free, tiles = [w != "" for w in doc], [True] * len(p), []
+    d_free, p_free, tiles = [w != 0 for w in doc], [True] * len(p), []
 
     def windows(xs: list[int], free: list[bool], size: int) -> Iterator[tuple[int, int]]:
         top, h, run = pow(_BASE, size - 1, _MOD), 0, 0
@@ -162,19 +217,13 @@ def tile(doc: list[str], passage: list[str], n: int) -> list[tuple[int, int, int
     return tiles
 
 
-def covered(words: list[str], passage: list[str], pairs: list[tuple[int, int]], n: int) -> tuple[int, list[tuple[int, int]]]:
-    """Tokens of the passage in tiles, with single changed words between two tiles of one run; and the tiles (place, length)."""
-    places = sorted({at + k for at, _ in pairs for k in range(n)})
-    doc, last = [], None
-    where = []
-    for at in places:
-        if last is not None and at != last + 1:
-            doc.append("")  # a gap no tile can cross
-            where.append(-1)
-        doc.append(words[at])
-        where.append(at)
-        last = at
-    tiles = sorted((j, where[i], k) for i, j, k in tile(doc, passage, n))
+def covered(ids: np.ndarray, passage: np.ndarray, at: np.ndarray, n: int) -> tuple[int, list[tuple[int, int]]]:
+    """Tokens of the passage in tiles, with single changed words between two tiles of one run; and the tiles (place, length). ``at``: places of seeds in ``ids``."""
+    places = np.unique(at[:, None] + np.arange(n))
+    gaps = np.flatnonzero(np.diff(places) > 1) + 1
+    where = np.insert(places, gaps, -1)
+    doc = np.where(where < 0, 0, ids[where])
+    tiles = sorted((j, int(where[i]), k) for i, j, k in tile(doc.tolist(), passage.tolist(), n))
     total = sum(k for _, _, k in tiles)
     for (j, i, k), (j2, i2, _) in zip(tiles, tiles[1:]):
         gap, other = j2 - (j + k), i2 - (i + k)
@@ -214,15 +263,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
     rows = docs.select(F.col(f"`{doc_key}`").alias("d"), F.col(f"`{text}`").alias("x")).filter("x IS NOT NULL AND x <> ''")
     d_type, i_type = rows.schema["d"].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
 
+    stored = len(blocks) > 1
+    if stored:
+        rows = checkpointed(split_words(rows, f"d {d_type}, x array<string>"), "words")
+
     def scan(block: dict[int, list[str]]) -> DataFrame:
-        shipped = spark.sparkContext.broadcast((block, {i: signs[i] for i in block}))
+        shipped = spark.sparkContext.broadcast(Index(block, signs))
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(*shipped.value)
+            index = shipped.value
             for batch in batches:
                 ds, out = batch.column(0), []
                 for n, x in enumerate(batch.column(1).to_pylist()):
-                    out += [(n, i, *found) for i, found in index.find(tokens(x), share).items()]
+                    out += [(n, i, *found) for i, found in index.find(x if stored else tokens(x), share).items()]
                 if out:
                     at, i, tiled, total = zip(*out)
                     ids = pa.array(i, pa.int64()) if i_type == "bigint" else pa.array(i)
@@ -234,3 +287,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
     for block in blocks[1:]:
         found = found.unionByName(scan(block))
     return found.select(F.col("d").alias(doc_key), F.col("i").alias(item_key), "tiled", "size")
+
+
+def split_words(rows: DataFrame, schema: str) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tokens(x) for x in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=["d", "x"])
+
+    return rows.mapInArrow(run, schema)

@@ -73,6 +73,23 @@ def test_shared_instructions_are_no_passage(spark):
     assert all(len(p) == 12 for p in passages([(k, t) for k, t, _ in items]).values())
 
 
+def test_questions_on_one_passage_keep_it(spark):
+    head, shared = "Read this and answer. ", passage(60) + "."
+    questions = [f"{shared} {passage(9)}?" for _ in range(3)]
+    items = [(k, q, "") for k, q in enumerate(questions)] + [(k + 3, head + q, "") for k, q in enumerate(questions)] + [(6 + k, head + passage(50), "") for k in range(3)]
+    assert leaks(spark, [(1, f"{passage(30)} {shared} {passage(30)}", 0), (2, head, 0)], items) == {(1, k) for k in range(6)}
+    found = passages([(k, t) for k, t, _ in items] + [(99, questions[0])] * 4)
+    assert [len(found[k]) for k in range(9)] == [69] * 6 + [50] * 3
+
+
+def test_what_tells_a_passage_does_not_depend_on_the_size_of_the_set():
+    rnd = random.Random(5)
+    texts = {k: passage(50, rnd).split() for k in range(40)}
+    more = texts | {k: [w + "x" for w in passage(50, rnd).split()] for k in range(40, 4000)}
+    doc = passage(20, rnd).split() + texts[7][10:30] + passage(20, rnd).split()
+    assert set(Index(texts).find(doc)) == set(Index(more).find(doc)) == {7}
+
+
 def test_similar_sentences_are_no_leak():
     frame = "in spring the {} fair brings {} painted carts to the {} near {} and its rival {} until {}"
     rnd = random.Random(3)
