@@ -1,31 +1,44 @@
 """Personal information in free text, replaced by typed placeholders (problem 5).
 
-Method: regular expressions propose spans; validators confirm them (digit counts, Luhn to tell payment cards from
-phone numbers, mod 97 for bank accounts, check letters and digits of tax numbers); words nearby raise or
-lower the score, and spans from ``THRESHOLD`` on are taken, the better score first where they overlap. Numbers
-and addresses read aloud are spelt out digit by digit before they are judged. Two neighbouring words are a
-name if the corpus knows both as parts of names: from e-mail addresses, which carry them, and from the table
-of known speakers; after a title one word is enough.
-
-Scale: two maps over the texts. Name parts are kept as a bitmap of fixed size, so what is shipped does not grow with
-the corpus; texts of one record are judged independently, so a record with a third of all lines needs no grouping.
+Method: regular expressions propose spans; validators confirm them (digit counts, check letters and digits of identity
+numbers; mod 97 for bank accounts and Luhn for payment cards, which then are kept from being read as phone or identity
+numbers); words nearby raise or lower the score, and spans from ``THRESHOLD`` on are taken, the better score first
+where they overlap. Numbers and addresses read aloud are spelt out digit by digit before they are judged.
+
+Two neighbouring words are a name if the corpus knows both as parts of names; after a title one word is enough. Parts of
+names are those of the table of known persons, and parts of e-mail addresses with a second witness: texts mostly write
+them with a capital letter away from sentence starts, or they share an address with a part that has such a witness.
+``support@`` teaches nothing where texts write "our support".
+
+Scale: three maps over the texts, the first over those with addresses only; between them, parts and their counts are
+aggregated. Known parts are shipped as a filter sized by their number, at ``BITS_PER_PART`` bits each, which takes a word for a part
+by mistake once in a million; more than ``MAX_PARTS`` parts are refused. Texts of one record are judged independently,
+so a record with a third of all lines needs no grouping.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
-import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.session import checkpointed
+
 THRESHOLD = 0.5
-#: Bits of the map of name parts.
-BITS = 1 << 22
+#: Size of the filter of name parts for each part, its number of hashes, and the most parts it takes.
+BITS_PER_PART, HASHES, MAX_PARTS = 29, 20, 20_000_000
+#: Of a part's uses in texts that have capitals, at least this share must be capitalised.
+CAPITAL_SHARE = 1 / 3
+#: Parts a task counts before it hands them on.
+MAX_COUNTED = 100_000
 #: Characters before and after a span in which words count as its context.
 REACH = 48
 
@@ -74,6 +87,9 @@ _ID_NAMED = re.compile(rf"\b(?P<label>{_ID_LABEL})[\s_*`]*(?P<id>(?:[A-Z]{{1,3}}
 _ID_SPOKEN = re.compile(rf"\b(?P<label>{_ID_LABEL})\s+(?P<id>(?:(?:{_L}|double\s+{_L}){_GAP}){{0,4}}{_DIGIT_WORD}(?:{_GAP}{_DIGIT_WORD}){{4,13}}(?:{_GAP}{_L}\b)?)\b", re.I)
 _ID_SHAPE = re.compile(r"(?<![\w-])(?:[A-Z]{1,2}\d{7,8}|[A-Z]{2}-\d{4}-\d{4}|\d{2}-\d{7}|\d{8}[A-Z]|[XYZ]\d{7}[A-Z]|\d{11})(?![\w-]|\.\d)")
 
+_ACCOUNT = re.compile(r"(?<![\w-])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![\w-])", re.I)
+_CARD = re.compile(r"(?<![\w+.-])\d(?:[ -]?\d){12,18}(?![\w-])")
+
 _HOUSE = rf"(?:\d{{1,4}}[a-z]?|{TENS}|(?:one|two|three|four|five|six|seven|eight|nine)(?: hundred(?: and)?(?: (?:{TENS}))?)?)"
 _STREET_NAME = rf"(?:(?!(?:{SMALL})\b){_NAME_WORD}\s+){{1,3}}?"
 _CAP = rf"(?-i:[A-ZÄÖÜ]){_NAME_WORD}"
@@ -176,52 +192,92 @@ def near(text: str, start: int, end: int, kind: str) -> float:
     return 0.2 * bool(good.search(around)) - 0.35 * bool(bad.search(before))
 
 
+class Parts:
+    """A Bloom filter of folded words, sized by their number."""
+
+    def __init__(self, folded: Iterable[str], n: int) -> None:
+        if n > MAX_PARTS:
+            raise ValueError(f"more than {MAX_PARTS} parts of names")
+        self.size = max(64, n * BITS_PER_PART)
+        bits = np.zeros(self.size // 8 + 1, np.uint8)
+        for word in folded:
+            for h in self.places(word):
+                bits[h >> 3] |= 1 << (h & 7)
+        self.bits = bits.tobytes()
+
+    def places(self, folded: str) -> Iterator[int]:
+        d = hashlib.blake2b(folded.encode(), digest_size=16).digest()
+        a, b = int.from_bytes(d[:8]), int.from_bytes(d[8:]) | 1
+        return ((a + i * b) % self.size for i in range(HASHES))
+
+    def __contains__(self, folded: str) -> bool:
+        return all(self.bits[h >> 3] >> (h & 7) & 1 for h in self.places(folded))
+
+
 class Names:
     """Name parts the corpus knows."""
 
-    def __init__(self, bitmap: bytes) -> None:
-        self.bitmap, self.seen = bitmap, {}
+    def __init__(self, parts: Parts | set[str]) -> None:
+        self.parts, self.seen = parts, {}
 
     def knows(self, word: str) -> bool:
         k = self.seen.get(word)
         if k is None:
             f = fold(word)
-            h = part_bit(f) if len(f) > 2 else 0
-            k = bool(len(f) > 2 and self.bitmap[h >> 3] >> (h & 7) & 1)
+            k = len(f) > 2 and f in self.parts
             if len(self.seen) < 200_000:
                 self.seen[word] = k
         return k
 
 
-def part_bit(folded: str) -> int:
-    return zlib.crc32(folded.encode()) % BITS
-
-
 _LOCAL = re.compile(r"[._-]|\s(?:dot|underscore|dash|hyphen)\s")
 
 
-def name_parts(text: str) -> Iterator[str]:
-    """Name parts in the e-mail addresses of a text."""
-    if "@" not in text and " dot " not in text.casefold() and "[at]" not in text:
-        return
-    for m in _EMAIL.finditer(text):
-        local = m.group().split("@")[0]
-        yield from _parts(local)
-    for rx in (_EMAIL_MASKED, _EMAIL_SPOKEN):
-        for m in rx.finditer(text):
-            yield from _parts(re.split(r"\s?[\[({]\s?at|\sat\s", m.group(), flags=re.I)[0])
+def name_parts(text: str) -> Iterator[tuple[str, str | None]]:
+    """Parts of the e-mail addresses of a text, each with every other part of its address, or None."""
+    low = text.casefold()
+    if "@" in text:
+        for m in _EMAIL.finditer(text):
+            yield from _parts(m.group().split("@")[0])
+    if "at" in low and "dot" in low:
+        for rx in (_EMAIL_MASKED, _EMAIL_SPOKEN):
+            for m in rx.finditer(text):
+                yield from _parts(re.split(r"\s?[\[({]\s?at|\sat\s", m.group(), flags=re.I)[0])
 
 
-def _parts(local: str) -> Iterator[str]:
+def _parts(local: str) -> Iterator[tuple[str, str | None]]:
     local = re.split(r"\+|\splus\s", local, flags=re.I)[0]
     pieces = _LOCAL.split(local)
-    for p in pieces:
-        f = fold(re.sub(r"\d+$", "", p))
-        if len(f) > 2:
-            yield f
+    own = [f for p in pieces if len(f := fold(re.sub(r"\d+$", "", p))) > 2]
+    for f in own:
+        yield f, None
+        yield from ((f, g) for g in own if g != f)
     if len(pieces) > 1:
-        f = fold(local)
-        yield f  # parts written with a hyphen in texts
+        yield fold(local), None  # parts written with a hyphen in texts
+
+
+_USED = rf"{_L}+(?:['’-](?!s\b){_L}+)*"
+_INSIDE = re.compile(rf"(?<=[\w,;)] )(?=[A-ZÀ-ÖØ-Þ]){_USED}")
+_LOW = re.compile(rf"(?<!\S)(?=[a-zß-öø-ÿ]){_USED}(?=[\s,;:!?'’]|[.](?:\s|\Z)|\Z)")
+
+
+def uses(text: str, parts: Names) -> Iterator[tuple[str, bool]]:
+    """Words of a text that ``parts`` knows, if it has capitals: folded, and whether with a capital away from a sentence's start.
+
+    Addresses are no witnesses for their own parts.
+    """
+    low = text.lower()
+    if text == low or text == text.upper():
+        return
+    if " dot " in low or "dot]" in low:
+        for rx in (_EMAIL_MASKED, _EMAIL_SPOKEN):
+            text = rx.sub(" ", text)
+    for w in _INSIDE.findall(text):
+        if parts.knows(w):
+            yield fold(w), True
+    for w in _LOW.findall(text):
+        if parts.knows(w):
+            yield fold(w), False
 
 
 def find(text: str, names: Names) -> list[Span]:
@@ -231,15 +287,22 @@ def find(text: str, names: Names) -> list[Span]:
     found: list[Span] = []
     add = lambda m, kind, score, group=0: found.append(Span(m.start(group), m.end(group), kind, score))
     low = text.casefold()
+    digits = _NUMBER.search(text) is not None
     if "@" in text:
         for m in _EMAIL.finditer(text):
             add(m, "email", 1.0)
+    if digits:  # numbers that are confirmed to be something else
+        for m in _ACCOUNT.finditer(text):
+            if mod97(m.group()):
+                add(m, "account", 1.0)
+        for m in _CARD.finditer(text):
+            if luhn(re.sub(r"\D", "", m.group())) and not near(text, *m.span(), "id_number") > 0:
+                add(m, "card", 0.95)
     if "at" in low and "dot" in low:
         for m in _EMAIL_MASKED.finditer(text):
             add(m, "email", 0.95)
         for m in _EMAIL_SPOKEN.finditer(text):
             add(m, "email", 0.9)
-    digits = _NUMBER.search(text) is not None
     spoken = sum(map(low.count, _DIGIT_HINTS))
     ids = any(h in low for h in _ID_HINTS)
     if digits:
@@ -256,7 +319,7 @@ def find(text: str, names: Names) -> list[Span]:
             add(m, "id_number", 0.7 * checked or 0.4 + near(text, *m.span(), "id_number"))
         for m in _PHONE.finditer(text):
             n = re.sub(r"\D", "", m.group())
-            if not 7 <= len(n) <= 15 or (len(n) > 12 and not m["intl"] and luhn(n)):
+            if not 7 <= len(n) <= 15:
                 continue
             base = 0.8 if m["intl"] else 0.7 if m["area"] or m["trunk"] else 0.65 if m["us"] else 0.5
             add(m, "phone", base + near(text, *m.span(), "phone"))
@@ -280,7 +343,7 @@ def find(text: str, names: Names) -> list[Span]:
     for x in sorted(taken, key=lambda x: (-x.score, x.start - x.end, x.start)):
         if all(x.end <= y.start or x.start >= y.end for y in out):
             out.append(x)
-    return sorted(out)
+    return sorted(x for x in out if x.kind in TYPES)
 
 
 _NOT_NAMES = re.compile(rf"(?:{SMALL}|{STRONG_STREETS}|{WEAK_STREETS}|{TITLES}|bridge|choir|valley|project|stories|blend|prize|award|foundation|trust|university|school|hospital|church|park|station|hotel|museum|river|lake)\Z", re.I)
@@ -334,32 +397,65 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def learn_names(texts: DataFrame, text: str, known: DataFrame | None = None, column: str = "name") -> bytes:
-    """Bitmap of the name parts in the texts' e-mail addresses and in the table of known persons."""
+def learn_names(texts: DataFrame, text: str, known: DataFrame | None = None, column: str = "name") -> Parts:
+    """The parts of names in the table of known persons, and those in the texts' e-mail addresses that a second witness confirms."""
     rows = texts.select(F.col(f"`{text}`").alias("x")).filter("x IS NOT NULL")
-    rows = rows.filter(F.col("x").contains("@") | F.lower("x").contains("dot"))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = {part_bit(p) for batch in batches for x in batch.column(0).to_pylist() for p in name_parts(x)}
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(bits), pa.int32())], names=["bit"])
+    def addresses(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {p for x in batch.column(0).to_pylist() for p in name_parts(x)}
+            part, mate = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(mate, pa.string())], names=["part", "mate"])
 
-    bitmap = bytearray(BITS // 8)
-    bits = rows.mapInArrow(run, "bit int").distinct().toArrow().column("bit").to_pylist()  # at most BITS
+    addressed = checkpointed(rows.filter(F.contains("x", F.lit("@")) | F.contains(F.lower("x"), F.lit("dot"))).mapInArrow(addresses, "part string, mate string").distinct(), "parts")
+    parts = addressed.select("part").distinct()
+    shipped = texts.sparkSession.sparkContext.broadcast(filter_of(parts))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, seen = Names(shipped.value), Counter()
+
+        def counted() -> pa.RecordBatch:
+            part, high = zip(*seen) if seen else ((), ())
+            out = pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(high, pa.bool_()), pa.array(seen.values(), pa.int64())], names=["part", "high", "n"])
+            seen.clear()
+            return out
+
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                seen.update(uses(x, names))
+            if len(seen) > MAX_COUNTED:
+                yield counted()
+        yield counted()
+
+    n = lambda high: F.coalesce(F.sum(F.when(F.col("high") == high, F.col("n"))), F.lit(0))
+    used = rows.mapInArrow(count, "part string, high boolean, n long").groupBy("part").agg(n(True).alias("high"), n(False).alias("low"))
+    judged = checkpointed(parts.join(used, "part", "left").select("part", (F.col("high") > 0).alias("seen"), (F.col("high") >= CAPITAL_SHARE * (F.col("high") + F.col("low"))).alias("mostly")), "uses")
+    sure = judged.filter("seen AND mostly").select("part")
     if known is not None:
-        for r in known.select(F.col(column).alias("n")).filter("n IS NOT NULL").distinct().toLocalIterator():
-            bits += [part_bit(f) for w in _TOKEN.findall(r.n) if len(f := fold(w)) > 2]
-    for b in bits:
-        bitmap[b >> 3] |= 1 << (b & 7)
-    return bytes(bitmap)
+        table = known.select(F.explode(F.split(F.col(column), r"[^\p{L}'’-]+")).alias("w"))
+
+        def folded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([f for w in batch.column(0).to_pylist() if len(f := fold(w or "")) > 2], pa.string())], names=["part"])
+
+        sure = sure.unionByName(table.mapInArrow(folded, "part string")).distinct()
+    # Parts that no text uses but that share an address with a sure one; parts used in lower case stay out.
+    shared = addressed.join(sure.withColumnRenamed("part", "mate"), "mate", "left_semi").join(judged.filter("seen IS NULL"), "part", "left_semi").select("part")
+    return filter_of(checkpointed(sure.unionByName(shared).distinct(), "names"))
+
+
+def filter_of(parts: DataFrame) -> Parts:
+    """The filter of a table of parts, which is read in batches and whose size is checked first."""
+    return Parts((r.part for r in parts.toLocalIterator()), parts.count())
 
 
-def scan(texts: DataFrame, text: str, bitmap: bytes) -> DataFrame:
+def scan(texts: DataFrame, text: str, parts: Parts) -> DataFrame:
     """``texts`` with ``spans``, an array of (kind, start, end, score), and ``redacted``, the text with placeholders.
 
     Defined cases: null text has null spans and redaction; empty text has none; long texts are searched whole; other
     columns are kept, whatever their names; repeats stay.
     """
-    shipped = texts.sparkSession.sparkContext.broadcast(bitmap)
+    shipped = texts.sparkSession.sparkContext.broadcast(parts)
     at = texts.columns.index(text)
     spans = "array<struct<kind:string,start:int,end:int,score:double>>"
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(texts.schema)) + f", spans {spans}, redacted string"

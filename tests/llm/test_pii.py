@@ -3,10 +3,8 @@ import pytest
 from loomline.llm import pii
 
 TEXTS = ["mail ann.bell@post.example", "jürgen_o'hara [at] x [dot] test or una-lise+notes@x.example", "dorn dot bo at mail dot test"]
-BITMAP = bytearray(pii.BITS // 8)
-for part in {p for x in TEXTS for p in pii.name_parts(x)} | {pii.fold(w) for w in ("Una-Lise", "O'Hara", "Jürgen")}:
-    BITMAP[pii.part_bit(part) >> 3] |= 1 << (pii.part_bit(part) & 7)
-NAMES = pii.Names(bytes(BITMAP))
+PARTS = {p for x in TEXTS for p, _ in pii.name_parts(x)} | {pii.fold(w) for w in ("Una-Lise", "O'Hara", "Jürgen")}
+NAMES = pii.Names(pii.Parts(PARTS, len(PARTS)))
 
 
 def kinds(text):
@@ -55,6 +53,29 @@ def test_checks():
     assert pii.spoken_digits("double five, oh one") == "5501"
 
 
+def test_accounts_and_cards_are_no_phones():
+    assert kinds("IBAN DE89 3704 0044 0532 0130 00 is ours, call 555-0171") == [("phone", "555-0171")]
+    assert kinds("pay with 4539 5787 6362 1486 or +1 555 555 0133") == [("phone", "+1 555 555 0133")]
+    assert kinds("passport number 4539578763621") == [("id_number", "4539578763621")]
+
+
+def test_the_filter_errs_once_in_a_million():
+    parts = pii.Parts((f"name{i}" for i in range(20_000)), 20_000)
+    assert all(f"name{i}" in parts for i in range(20_000)) and sum(f"word{i}" in parts for i in range(100_000)) <= 2
+    with pytest.raises(ValueError):
+        pii.Parts([], pii.MAX_PARTS + 1)
+
+
+def test_role_accounts_teach_no_names(spark):
+    role = ["support@firm.example", "team@firm.example", "data.science@firm.example", "Ada Roe", "jane.roe (at) example (dot) org", "mick.hollis@firm.example"]
+    said = ["Ask our support team about it.", "The data science meeting is at noon.", "Then Jane Roe called, and Mick came.", "They said jane roe called.", "We asked mick hollis again."]
+    df = spark.createDataFrame([(f"Write to {x} today", "") for x in role] + [(x, "") for x in said], "x string, part string")
+    got = {r.x: r.redacted for r in pii.scan(df, "x", pii.learn_names(df, "x")).collect()}
+    assert [got[x] for x in said] == ["Ask our support team about it.", "The data science meeting is at noon.", "Then [NAME] called, and Mick came.", "They said [NAME] called.", "We asked mick hollis again."]
+    low = spark.createDataFrame([("our support team has the data science meeting", ""), *[(f"Write to {x} today", "") for x in role[:3]]], "x string, part string")
+    assert pii.scan(low, "x", pii.learn_names(low, "x")).filter("x LIKE 'our%'").first().redacted == "our support team has the data science meeting"
+
+
 def test_readable_result(spark):
     df = spark.createDataFrame([("1", "Ask Ann Bell, ann.bell@post.example or 555-0171.", "s"), ("2", None, "t"), ("3", "", None)], "spans_ string, x string, c0 string")
     bits = pii.learn_names(df, "x", spark.createDataFrame([("Cy Dane",), (None,)], "name string"))
