@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.llm.nearest import match_stream, match_tables
+from loomline.llm.nearest import match_stream, match_tables, nearest
 from loomline.session import scratch
 
 
@@ -17,11 +18,11 @@ def brute(lefts, rights, tol):
     return out
 
 
-def run(spark, lefts, rights, tol=100):
+def run(spark, lefts, rights, tol=100, progress=None):
     left, right = scratch(spark, "l"), scratch(spark, "r")
     spark.createDataFrame(lefts, "who string, pos int, t bigint, side int, event_time string").repartition(3).write.parquet(left)
     spark.createDataFrame(rights, "who string, id string, t bigint, bucket string").repartition(2).write.parquet(right)
-    return match_tables(spark, left, right, "who", "t", "pos", "t", "id", tol)
+    return match_tables(spark, left, right, "who", "t", "pos", "t", "id", tol, progress)
 
 
 def test_against_brute_force(spark):
@@ -43,6 +44,24 @@ def test_ties_limits_and_far_times(spark):
     assert got == {"1": "early", "2": "x", "4": "huge"}
 
 
+def test_replay_emits_and_evicts_slice_by_slice(spark):
+    lefts = [(f"w{i % 5}", i, i * 10_000, 0, "") for i in range(300)]
+    rights = [(f"w{i % 5}", f"c{i}", i * 10_000 + 7, "") for i in range(300)]
+    progress = []
+    assert run(spark, lefts, rights, progress=progress).count() == 300
+    state = [p["stateOperators"][0] for p in progress if p["stateOperators"]]
+    assert sum(s["numRowsRemoved"] > 0 for s in state) >= 3 and state[-1]["numRowsTotal"] == 0
+    assert max(p["numInputRows"] for p in progress) < 400  # of 600, in three slices
+    assert "rocksdb" in str(state[0]).lower()
+
+
+def test_nearest_at_the_ends_of_the_range():
+    big = np.iinfo(np.int64).max
+    key, times = np.zeros(3, np.int64), np.array([-big, 0, big])
+    assert nearest(key, times, key, times + np.array([1, 5, -1]), 4).tolist() == [0, -1, 2]
+    assert nearest(key + 1, times, key, times, 4).tolist() == [-1, -1, -1]
+
+
 @pytest.mark.parametrize("empty", ["left", "right"])
 def test_empty_side(spark, empty):
     lefts, rights = [("a", 1, 1000, 0, "")], [("a", "c", 1000, "")]
