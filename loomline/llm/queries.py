@@ -53,7 +53,7 @@ def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = split_items(table(spark, sf_dir, "chunks"), only_oversized=True)
-    return pieces.select(F.col("id").alias("chunk_id"), "boundary").distinct()
+    return pieces.select(F.col("id").alias("chunk_id"), F.col("level").alias("boundary")).distinct()
 
 
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Method: agglomerative merging. An item starts as atomic segments; every pair of neighbours sits in a heap
 under the strength of the boundary between them, and the weakest boundary is merged first while the
 combined size plus the overlap fits. What remains uncut is what no merge could remove, so cuts fall at
-paragraphs where possible, else at sentences, else at words.
+paragraphs where possible, else at sentences, else at words. Merged without overlap, the weakest cut that is left
+tells at which boundaries the item can be cut at all.
 
 Scale: items are independent; a native length filter keeps small items out of Python, and only the four columns
 in use are shipped. Nothing is grouped, so a note with many chunks costs no more than others.
@@ -50,30 +51,14 @@ def boundaries(text: str, words: list[tuple[int, int]]) -> list[int]:
     return strength
 
 
-def longest(strength: list[int], level: int) -> int:
-    """Words in the longest stretch between boundaries of at least ``level``."""
-    most = run = 0
-    for s in strength:
-        run += 1
-        most = max(most, run)
-        if s >= level:
-            run = 0
-    return most
-
-
-def coarsest(strength: list[int], limit: int) -> str:
-    """The coarsest boundary at which no stretch exceeds ``limit`` words."""
-    return next((NAMES[level] for level in (PARAGRAPH, SENTENCE) if longest(strength, level) <= limit), NAMES[WORD])
-
-
 def merge_atoms(strength: list[int], limit: int, overlap: int) -> list[tuple[int, int]]:
     """Word ranges (first, past last) of the pieces without overlap."""
     net = limit - overlap
     ends, first = [], 0
-    for level in (PARAGRAPH, SENTENCE, WORD):  # atoms as coarse as fits, to keep the heap small
-        if longest(strength, level) <= net or level == WORD:
-            ends = [i + 1 for i, s in enumerate(strength) if s >= level]
-            break
+    for i, s in enumerate(strength):  # atoms: sentences that fit, which no word boundary survives, and words of the others
+        if s >= SENTENCE or i + 1 == len(strength):
+            ends += [i + 1] if i + 1 - first <= net else range(first + 1, i + 2)
+            first = i + 1
     starts = [0, *ends[:-1]]
     n = len(ends)
     after, before, alive = [*range(1, n), -1], [-1, *range(n - 1)], [True] * n
@@ -92,17 +77,22 @@ def merge_atoms(strength: list[int], limit: int, overlap: int) -> list[tuple[int
             heapq.heappush(heap, (strength[ends[i] - 1], ends[after[i]] - starts[i], i, ends[after[i]]))
         if (h := before[i]) >= 0:
             heapq.heappush(heap, (strength[ends[h] - 1], ends[i] - starts[h], h, ends[i]))
-    first = 0
-    return [(starts[i], ends[i]) for i in range(n) if alive[i]] or [(first, 0)]
+    return [(starts[i], ends[i]) for i in range(n) if alive[i]] or [(0, 0)]
+
+
+def level(strength: list[int], limit: int) -> str:
+    """The coarsest boundary at which the item can be cut to ``limit``: the weakest cut that merging without overlap leaves."""
+    cuts = [strength[b - 1] for _, b in merge_atoms(strength, limit, 0)[:-1]]
+    return NAMES[min(cuts, default=PARAGRAPH)]
 
 
 def split(text: str, start_ms: int | None, end_ms: int | None, limit: int = LIMIT_WORDS, overlap: int = OVERLAP_WORDS) -> list[dict]:
     """Pieces of one item; an item within the limit is its own only piece."""
     words = word_spans(text)
     if len(words) <= limit:
-        return [{"piece_no": 0, "boundary": "whole", "n_words": len(words), "overlap_words": 0, "start_ms": start_ms, "end_ms": end_ms, "text": text}]
+        return [{"piece_no": 0, "boundary": "whole", "level": "whole", "n_words": len(words), "overlap_words": 0, "start_ms": start_ms, "end_ms": end_ms, "text": text}]
     strength = boundaries(text, words)
-    boundary = coarsest(strength, limit)
+    own = level(strength, limit)
     timed = start_ms is not None and end_ms is not None and end_ms >= start_ms
     at = lambda w: start_ms + (end_ms - start_ms) * w // len(words) if timed else None
     out = []
@@ -110,21 +100,21 @@ def split(text: str, start_ms: int | None, end_ms: int | None, limit: int = LIMI
         lap = min(overlap, a)
         left = words[a - lap][0] if a else 0
         right = words[b - 1][1] if b < len(words) else len(text)
-        out.append({"piece_no": no, "boundary": boundary, "n_words": b - a + lap, "overlap_words": lap, "start_ms": at(a - lap), "end_ms": at(b), "text": text[left:right]})
+        out.append({"piece_no": no, "boundary": NAMES[strength[b - 1]] if b < len(words) else "end", "level": own, "n_words": b - a + lap, "overlap_words": lap, "start_ms": at(a - lap), "end_ms": at(b), "text": text[left:right]})
     return out
 
 
-PIECES = "{key} string, piece_no int, boundary string, n_words int, overlap_words int, start_ms long, end_ms long, text string"
-_FIELDS = ["piece_no", "boundary", "n_words", "overlap_words", "start_ms", "end_ms", "text"]
-_TYPES = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+PIECES = "{key} string, piece_no int, boundary string, level string, n_words int, overlap_words int, start_ms long, end_ms long, text string"
+_FIELDS = ["piece_no", "boundary", "level", "n_words", "overlap_words", "start_ms", "end_ms", "text"]
+_TYPES = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
 
 
 def split_items(items: DataFrame, key: str = "id", limit: int = LIMIT_WORDS, overlap: int = OVERLAP_WORDS, only_oversized: bool = False) -> DataFrame:
-    """Pieces of every item: ``key, piece_no, boundary, n_words, overlap_words, start_ms, end_ms, text``.
+    """Pieces of every item: ``key, piece_no, boundary, level, n_words, overlap_words, start_ms, end_ms, text``.
 
     No piece has more than ``limit`` words; each but the first repeats the last ``overlap`` words before it.
-    ``boundary`` is the coarsest of paragraph, sentence and word at which no stretch of the item exceeds the
-    limit, ``whole`` for items within it. Times are interpolated by words between those of the item.
+    ``boundary`` is what the piece ends at: paragraph, sentence or word, ``end`` for the last one. ``level`` is the coarsest
+    of the three at which no stretch of the item exceeds the limit. Both are ``whole`` for items within it. Times are interpolated by words between those of the item.
     Defined cases: null text gives no piece; empty text is one empty piece; where a time is missing or the two are
     reversed, the pieces of a cut item have null times; repeats of an item give repeated pieces; other columns are dropped.
     """

@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomline.llm.splitting import boundaries, merge_atoms, split, split_items, word_spans
+from loomline.llm.splitting import boundaries, level, merge_atoms, split, split_items, word_spans
 
 
 def check(text, limit, overlap, a=0, b=10_000):
@@ -25,13 +25,8 @@ def test_any_text(parts, limit, overlap):
 
 
 def brute(strength, limit, overlap):
-    """Merge by looking at all pairs each time."""
-    net = limit - overlap
-    from loomline.llm.splitting import PARAGRAPH, SENTENCE, WORD, longest
-
-    level = next(v for v in (PARAGRAPH, SENTENCE, WORD) if longest(strength, v) <= net or v == WORD)
-    ends = [i + 1 for i, s in enumerate(strength) if s >= level]
-    pieces = list(zip([0, *ends[:-1]], ends))
+    """Merge from single words by looking at all pairs each time."""
+    pieces = [(i, i + 1) for i in range(len(strength))]
     while True:
         fit = [(strength[b - 1], d - a, i) for i, ((a, b), (_, d)) in enumerate(zip(pieces, pieces[1:])) if d - a + min(overlap, a) <= limit]
         if not fit:
@@ -54,6 +49,28 @@ def test_boundaries():
         assert split(sep.join(["w " * 9 + "w"] * 4), 0, 1, 10, 2)[0]["boundary"] == want
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([1, 1, 1, 1, 2, 3]), min_size=1, max_size=70), st.integers(3, 30))
+def test_level_is_the_coarsest_that_fits(strength, limit):
+    strength[-1] = 3
+
+    def longest(least):
+        most = run = 0
+        for s in strength:
+            run += 1
+            most = max(most, run)
+            run = 0 if s >= least else run
+        return most
+
+    assert level(strength, limit) == next((n for v, n in ((3, "paragraph"), (2, "sentence")) if longest(v) <= limit), "word")
+
+
+def test_each_cut_says_what_it_is():
+    pieces = split("\n\n".join(["w " * 599 + "w"] * 2), 0, 1)
+    assert [p["boundary"] for p in pieces] == ["paragraph", "word", "end"] and {p["level"] for p in pieces} == {"paragraph"}
+    assert pieces[0]["n_words"] == 600 and sum(p["n_words"] - p["overlap_words"] for p in pieces) == 1200
+
+
 def test_defined_cases(spark):
     rows = [("a", None, 0, 1, "x"), ("b", "", 0, 1, "x"), ("c", "w " * 50, None, 5, "x"), ("d", "w " * 50, 9, 5, "x"), ("e", "w", 3, 3, "x")]
     df = spark.createDataFrame(rows, "id string, text string, start_ms bigint, end_ms bigint, boundary string")
