@@ -6,7 +6,8 @@ token before it, where two tokens are compatible if the merge list encodes their
 two. No token is longer than ``lookahead`` bytes, so whatever follows attaches to one of the last
 ``lookahead`` positions; tokens on which the encodings up to all of these agree are stable and are
 emitted, and the bytes behind them forgotten. Text is cut into words by the tokenizer's pattern in windows,
-holding back the few characters the pattern may still look at, so memory does not depend on a text's length.
+holding back the few characters the pattern may still look at. A word that fills a window is fed while it is still open, so
+memory depends neither on a text's length nor on that of its longest word.
 
 Decoding runs the other way: token bytes go through an incremental UTF-8 state machine.
 
@@ -32,6 +33,8 @@ VOCABULARY = "byte_bpe_50k.json"
 
 #: Fixed value: the tokenizer's pattern of words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What a long word can consist of but for a space before it.
+RUNS = [r"\s*", r"\p{L}*", r"\p{N}*", r"[^\s\p{L}\p{N}]*"]
 #: Characters after a match on which the pattern's choice can depend (the longest contraction).
 PATTERN_LOOKAHEAD = 4
 WINDOW = 1 << 16
@@ -150,20 +153,33 @@ class Encoder:
 
     def __init__(self, merges: MergeList) -> None:
         self.m, self.words, self.cache = merges, regex.compile(PATTERN), {}
+        self.runs = [regex.compile(r) for r in RUNS]
 
     def word(self, text: str) -> list[int]:
-        t, data, out = Transducer(self.m), text.encode("utf-8"), []
+        t = Transducer(self.m)
+        return self.feed(t, text) + t.finish()
+
+    @staticmethod
+    def feed(t: Transducer, text: str) -> list[int]:
+        data, out = text.encode("utf-8"), []
         for i in range(0, len(data), STEP):
             out += t.feed(data[i : i + STEP]) if len(data) > STEP else (t._read(data) or [])
-        return out + t.finish()
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         """The ids without special tokens; strings that name special tokens are ordinary text. Null and empty: no ids."""
         out: list[int] = []
         if not text:
             return out
-        cache = self.cache
-        for w in self.stream(text):
+        cache, now = self.cache, None
+        for w, is_open in self.stream(text):
+            if is_open or now is not None:
+                now = now or Transducer(self.m)
+                out += self.feed(now, w)
+                if not is_open:
+                    out += now.finish()
+                    now = None
+                continue
             ids = cache.get(w)
             if ids is None:
                 ids = self.word(w)
@@ -172,21 +188,42 @@ class Encoder:
             out += ids
         return out
 
-    def stream(self, text: str) -> Iterator[str]:
-        """Words of the text, read in windows."""
+    def stream(self, text: str) -> Iterator[tuple[str, bool]]:
+        """Words of the text, read in windows; a word longer than a window comes in parts, all but the last marked open."""
         if len(text) <= WINDOW:
-            yield from self.words.findall(text)
+            yield from ((w, False) for w in self.words.findall(text))
             return
         held, at = "", 0
-        while at < len(text):
+        while held or at < len(text):
             held, at = held + text[at : at + WINDOW], at + WINDOW
             sure, done = len(held) - PATTERN_LOOKAHEAD if at < len(text) else len(held), 0
             for found in self.words.finditer(held):
                 if found.end() > sure:
                     break
                 done = found.end()
-                yield found.group()
+                yield found.group(), False
             held = held[done:]
+            if len(held) >= WINDOW and (m := self.words.match(held)).end() == len(held):
+                held, at = yield from self._open_word(text, held, at)
+
+    def _open_word(self, text: str, held: str, at: int) -> Iterator[tuple[str, bool]]:
+        """The parts of a word of which ``held`` is the beginning; returns what is read beyond it, and the place in the text."""
+        run = next(r for r in self.runs if r.match(held[-1]).end())
+        spaces = run is self.runs[0]  # the last of several belongs to what follows, unless the text ends there
+        while True:
+            part = text[at : at + WINDOW]
+            k, at = run.match(part).end(), at + WINDOW
+            if k < len(part):
+                word = held + part[:k]
+                cut = len(word) - spaces
+                yield word[:cut], False
+                return word[cut:] + part[k:], at
+            if at >= len(text):
+                yield held + part, False
+                return "", at
+            cut = len(held) - spaces
+            yield held[:cut], True
+            held = held[cut:] + part
 
 
 class Decoder:

@@ -66,6 +66,14 @@ def test_memory_is_bounded_and_tokens_stable(encoder):
     assert encoder.word(data[:400].decode()) == encoder.m.merge(data[:400])
 
 
+@pytest.mark.parametrize("word", ["ab", "é", "1", "!?", " ", "\n \t", "'", "'re"])
+def test_words_longer_than_windows(encoder, library, monkeypatch, word):
+    monkeypatch.setattr(bpe, "WINDOW", 16)
+    for text in (word * 100, f"x {word * 60}y", f"{word * 60} 'll 7", f" {word * 33}\n\nz", f"{word * 60}!"):
+        assert encoder.encode(text) == library(text), text
+        assert "".join(w for w, _ in encoder.stream(text)) == text and max(len(w) for w, _ in encoder.stream(text)) <= 40
+
+
 def test_columns(spark):
     df = spark.createDataFrame([(1, "hello world", "x"), (2, "", "x"), (3, None, None)], "doc_id bigint, text string, ids string")
     got = bpe.encode_column(df, "doc_id", "text")
