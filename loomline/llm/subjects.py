@@ -1,15 +1,17 @@
 """Subject areas of documents (problem 9).
 
-Method: the document-term matrix X is factored as W H with non-negative alternating updates. One component a
-subject is anchored: it starts from the terms by which hand-labelled documents and the subject's description stand
-out against the corpus, and keeps that seed mixed in after every update. A few free components start from the corpus
-mean and take up what all documents share. A sentence's row of W over the fixed H is its mixture; the anchored
-components are subjects, so the shares of a document's sentences are read off directly.
-
-Scale: terms are hashed into ``DIM`` buckets, so H has a fixed size whatever the corpus and is all that is shipped.
-X is written once, sparse, to the shared folder. A pass over it computes W row by row and sums the two
-small products the update of H needs, first within tasks, then in a shuffle of at most DIM rows a task. All
-documents take part in every pass; nothing is sampled.
+Method: the document-term matrix X is factored as W H with non-negative alternating updates, until a pass moves the
+anchored part of H by less than ``TOLERANCE``. One component a subject is anchored: it starts from the terms by which hand-labelled documents
+and the subject's description stand out against the corpus, and the seed is mixed in again after every update with
+the weight ``ANCHOR``. A few free components start from the corpus mean and take up what all documents share. A sentence's
+row of W over the fixed H is its mixture; the anchored components are subjects, so the shares of a document's
+sentences are read off directly.
+
+Scale: terms are hashed into ``WIDE`` buckets, and H has a column for each bucket that enough documents have, so its width
+follows the vocabulary up to a fixed size; H is all that is shipped. X is written once, sparse, to the shared folder, the
+counts of a document beside its sentences, so that passes read counts only. A pass computes W row by row and sums the two
+small products the update of H needs, first within tasks, then in a shuffle. All documents take part in every pass;
+nothing is sampled.
 """
 
 from __future__ import annotations
@@ -27,8 +29,12 @@ from pyspark.sql import functions as F
 
 from loomline.session import scratch
 
-DIM = 1 << 15
-FREE, PASSES, INNER = 4, 2, 12
+#: Buckets terms are hashed into, and the most cells of H; with very many subjects the buckets of the fewest documents go.
+WIDE, MODEL_CELLS = 1 << 20, 1 << 25
+#: Free components, updates of W in a pass, and rounds over the components of H.
+FREE, INNER, SWEEPS = 4, 12, 3
+#: H has converged if a pass moves the anchored components by less than this part of their norm; passes at most.
+TOLERANCE, MAX_PASSES = 0.002, 30
 #: Weight of the seed in an anchored component after an update, and of a described term next to the labelled ones.
 ANCHOR, DESCRIBED = 0.8, 0.5
 #: Terms of fewer documents carry no weight; those of many are damped by this power of their count.
@@ -41,7 +47,8 @@ QUARTER = 0.25
 UNMARKED_WORDS = 13
 #: How far the document's own mixture is mixed into that of a sentence, and the mass from which a sentence is about a subject.
 CONTEXT, MIN_MASS = 0.8, 0.04
-MAX_SUBJECTS = 60
+#: The table of subjects is held by the driver and every worker; more are refused.
+MAX_SUBJECTS = 2_000
 #: Documents handled at once.
 BATCH = 256
 
@@ -82,7 +89,7 @@ _hashed: dict[str, int] = {}
 def bucket(term: str) -> int:
     h = _hashed.get(term)
     if h is None:
-        h = zlib.crc32(term.encode()) % DIM
+        h = zlib.crc32(term.encode()) % WIDE
         if len(_hashed) < 200_000:
             _hashed[term] = h
     return h
@@ -104,59 +111,78 @@ class Rows:
     @classmethod
     def count(cls, flat: np.ndarray, row: np.ndarray, rows: int) -> Rows:
         """Counts of the terms ``flat``, each in its ``row``."""
-        key, n = np.unique(row.astype(np.int64) * DIM + flat, return_counts=True)
-        return cls(key % DIM, n.astype(np.float64), np.cumsum(np.bincount(key // DIM, minlength=rows)))
+        key, n = np.unique(row.astype(np.int64) * WIDE + flat, return_counts=True)
+        return cls(key % WIDE, n, np.cumsum(np.bincount(key // WIDE, minlength=rows)))
+
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.ends, prepend=0)
 
     def dot(self, ht: np.ndarray) -> np.ndarray:
-        """X H' for H' of DIM rows."""
-        total = np.zeros((len(self.index) + 1, ht.shape[1]))
-        np.cumsum(ht[self.index] * self.value[:, None], axis=0, out=total[1:])
-        at = np.concatenate([[0], self.ends])
-        return total[at[1:]] - total[at[:-1]]
+        """X H' for H' of a row a column."""
+        n = self.sizes()
+        out = np.zeros((len(n), ht.shape[1]), ht.dtype)
+        if len(self.index):
+            out[n > 0] = np.add.reduceat(ht[self.index] * self.value[:, None], (self.ends - n)[n > 0], axis=0)
+        return out
 
     def row_of(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.ends)), np.diff(np.concatenate([[0], self.ends])))
-
-    def scaled(self, weight: np.ndarray) -> Rows:
-        """Damped counts times ``weight``, rows of length one."""
-        v = (1 + np.log(self.value)) * weight[self.index]
-        at = self.row_of()
+        return np.repeat(np.arange(len(self.ends)), self.sizes())
+
+    def scaled(self, columns: np.ndarray, weight: np.ndarray) -> Rows:
+        """Damped counts times ``weight``, rows of length one; ``columns``: that of each bucket, -1 for none."""
+        at, index = self.row_of(), columns[self.index]
+        known = index >= 0
+        at, index = at[known], index[known]
+        v = ((1 + np.log(self.value[known])) * weight[index]).astype(np.float32)
         norm = np.sqrt(np.bincount(at, v * v, len(self.ends)))
-        return Rows(self.index, v / np.maximum(norm, 1e-12)[at], self.ends)
+        return Rows(index, v / np.maximum(norm, 1e-12)[at].astype(np.float32), np.cumsum(np.bincount(at, minlength=len(self.ends))))
 
-    def product(self, w: np.ndarray) -> np.ndarray:
-        """X' W, DIM rows."""
+    def product(self, w: np.ndarray, columns: int) -> np.ndarray:
+        """X' W."""
         at = self.row_of()
-        return np.stack([np.bincount(self.index, self.value * w[at, j], DIM) for j in range(w.shape[1])], 1)
+        return np.stack([np.bincount(self.index, self.value * w[at, j], columns) for j in range(w.shape[1])], 1)
 
 
 def mixtures(x: Rows, ht: np.ndarray) -> np.ndarray:
     """W for a fixed H: multiplicative updates from an even start."""
     xh, hh = np.maximum(x.dot(ht), 0), ht.T @ ht
-    w = np.full(xh.shape, 1.0 / xh.shape[1])
+    w = np.full(xh.shape, 1.0 / xh.shape[1], xh.dtype)
     for _ in range(INNER):
         w *= xh / np.maximum(w @ hh, 1e-12)
     return w
 
 
+def updated(ht: np.ndarray, xw: np.ndarray, ww: np.ndarray) -> np.ndarray:
+    """H' for a fixed W: each component in turn as good as the others let it be, and not below zero."""
+    new = ht.copy()
+    for _ in range(SWEEPS):
+        for j in range(new.shape[1]):
+            if ww[j, j] > 1e-12:
+                new[:, j] = np.maximum(new[:, j] + (xw[:, j] - new @ ww[:, j]) / ww[j, j], 0)
+    return new
+
+
 def unit(columns: np.ndarray) -> np.ndarray:
     return columns / np.maximum(np.linalg.norm(columns, axis=0), 1e-12)
 
 
 @dataclass
 class Model:
-    """Fitted components: ``ht`` is H transposed, anchored components first, in the order of ``subjects``."""
+    """Fitted components: ``ht`` is H transposed, anchored components first, in the order of ``subjects``; ``columns``: that of each bucket."""
 
     subjects: list[str]
+    columns: np.ndarray
     weight: np.ndarray
     ht: np.ndarray
+    #: How far each pass moved H.
+    moved: list[float]
 
     def judge(self, flat: np.ndarray, sentence: np.ndarray, document: np.ndarray, documents: int) -> np.ndarray:
         """Share of each document's sentences about each subject. ``sentence``: of each term; ``document``: of each sentence."""
         k = len(self.subjects)
         if not len(document):
             return np.zeros((documents, k))
-        own = mixtures(Rows.count(flat, sentence, len(document)).scaled(self.weight), self.ht)[:, :k]
+        own = mixtures(Rows.count(flat, sentence, len(document)).scaled(self.columns, self.weight), self.ht)[:, :k]
         context = np.stack([np.bincount(document, own[:, j], documents) for j in range(k)], 1)
         context /= np.maximum(context.sum(1, keepdims=True), 1e-12)
         own = own * ((1 - CONTEXT) + CONTEXT * k * context[document])
@@ -183,9 +209,10 @@ def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def store_matrix(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Terms of every document, written to the shared folder: ``k, terms, sizes`` (terms a sentence)."""
+    """Terms of every document, written to the shared folder: ``k, terms, sizes`` (terms a sentence), ``own, times`` (the document's different terms and their counts)."""
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("x"))
     kind = rows.schema["k"].dataType.simpleString()
+    ints = pa.list_(pa.int32())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
@@ -194,34 +221,60 @@ def store_matrix(docs: DataFrame, key: str, text: str) -> DataFrame:
                 ts = [terms(s) for s in sentences(x)] if x else []
                 flat.append([t for s in ts for t in s])
                 sizes.append([len(s) for s in ts])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))], names=["k", "terms", "sizes"])
+            lengths = [len(f) for f in flat]
+            counts = Rows.count(np.array([t for f in flat for t in f], np.int64), np.repeat(np.arange(len(flat)), lengths), len(flat))
+            ends = pa.array(np.append(0, counts.ends), pa.int32())
+            own, times = (pa.ListArray.from_arrays(ends, pa.array(v, pa.int32())) for v in (counts.index, counts.value))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat, ints), pa.array(sizes, ints), own, times], names=["k", "terms", "sizes", "own", "times"])
 
     path = scratch(docs.sparkSession, "matrix")
-    rows.mapInArrow(run, f"k {kind}, terms array<int>, sizes array<int>").write.parquet(path)
+    rows.mapInArrow(run, f"k {kind}, terms array<int>, sizes array<int>, own array<int>, times array<int>").write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
-def summed(matrix: DataFrame, width: int, product) -> np.ndarray:
-    """Sum over all rows of ``product(batch)``, an array of ``width`` columns; at most its rows leave a task, and its size reaches the driver."""
+def counts_of(batch: pa.RecordBatch) -> Rows:
+    """The documents' counts, in the first two columns of a batch."""
+    values = lambda c: c.flatten().to_numpy(zero_copy_only=False)
+    own, times = batch.column(0), batch.column(1)
+    return Rows(values(own), values(times), np.cumsum(own.value_lengths().to_numpy(zero_copy_only=False)))
+
+
+def summed(rows: DataFrame, height: int, width: int, product) -> np.ndarray:
+    """Sum over all batches of ``product(batch)``, an array of this size; at most its rows leave a task, and its size reaches the driver."""
     names = [f"c{j}" for j in range(width)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in parts(batches):
             p = product(batch)
-            total = p if total is None else total + p
+            total = p if total is None else np.add(total, p, out=total)
         if total is not None:
             at = np.flatnonzero(total.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[at, j]) for j in range(width))], names=["t", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(total[at, j], pa.float64()) for j in range(width))], names=["t", *names])
 
-    found = matrix.mapInArrow(run, "t int, " + ", ".join(f"{n} double" for n in names)).groupBy("t").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    found = rows.mapInArrow(run, "t int, " + ", ".join(f"{n} double" for n in names)).groupBy("t").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     t = found.column("t").to_numpy()
-    out = np.zeros((DIM + 64, width))
+    out = np.zeros((height, width))
     for j, n in enumerate(names):
         out[t, j] = found.column(n).to_numpy()
     return out
 
 
+def vocabulary(counts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """The column of each bucket (-1 for none), the documents of each column, and the number of documents."""
+
+    def frequencies(batch: pa.RecordBatch) -> np.ndarray:
+        return np.append(np.bincount(counts_of(batch).index, minlength=WIDE), batch.num_rows).astype(float)[:, None]
+
+    counted = summed(counts, WIDE + 1, 1, frequencies)[:, 0]
+    df, n = counted[:WIDE], counted[WIDE]
+    kept = np.flatnonzero(df >= LEAST_DOCS)
+    kept = np.sort(kept[np.argsort(-df[kept], kind="stable")[: MODEL_CELLS // width]])
+    columns = np.full(WIDE, -1, np.int32)
+    columns[kept] = np.arange(len(kept))
+    return columns, df[kept], n
+
+
 def fit(matrix: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id") -> Model:
     """Factor the stored matrix. ``labels``: ``key, annotator, subject``; ``subjects``: ``subject, description``.
 
@@ -233,69 +286,59 @@ def fit(matrix: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "d
         raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     names = list(described)
     k, width = len(names), len(names) + FREE
+    counts = matrix.select("own", "times")
+    columns, df, n = vocabulary(counts, width)
+    size = len(df)
+    weight = np.log((n + 1) / (df + 1)) / np.maximum(df, 1) ** DAMPING
+    shipped = spark.sparkContext.broadcast((columns, weight))
+    rows_of = lambda batch: counts_of(batch).scaled(*shipped.value)
 
-    def document_counts(batch: pa.RecordBatch) -> np.ndarray:
-        flat, sentence, document, n = flatten(batch)
-        x = Rows.count(flat, document[sentence], n)
-        out = np.zeros((DIM + 1, 1))
-        out[:DIM, 0] = np.bincount(x.index, minlength=DIM)
-        out[DIM, 0] = n
-        return out
-
-    counted = summed(matrix, 1, document_counts)[:, 0]
-    df, n = counted[:DIM], counted[DIM]
-    weight = np.where(df >= LEAST_DOCS, np.log((n + 1) / (df + 1)) / np.maximum(df, 1) ** DAMPING, 0.0)
-    shipped = spark.sparkContext.broadcast(weight)
-
-    def document_rows(batch: pa.RecordBatch) -> Rows:
-        flat, sentence, document, rows = flatten(batch)
-        return Rows.count(flat, document[sentence], rows).scaled(shipped.value)
-
-    mean = summed(matrix, 1, lambda b: document_rows(b).product(np.ones((b.num_rows, 1))))[:DIM, 0] / max(n, 1)
+    mean = summed(counts, size, 1, lambda b: rows_of(b).product(np.ones((b.num_rows, 1), np.float32), size))[:, 0] / max(n, 1)
 
     votes = labels.select(F.col(f"`{key}`").alias("k"), "annotator", "subject").filter(F.col("subject").isin(names)).distinct().groupBy("k", "subject").agg(F.count("*").alias("v"))
     best = votes.groupBy("k").agg(F.max("v").alias("top"))
-    agreed = votes.join(best, "k").filter("v = top").groupBy("k").agg(F.sort_array(F.collect_set("subject")).alias("own"))
-    labelled = matrix.join(agreed, "k").select("k", "terms", "sizes", "own")
+    agreed = votes.join(best, "k").filter("v = top").groupBy("k").agg(F.sort_array(F.collect_set("subject")).alias("told"))
+    labelled = matrix.select("k", "own", "times").join(agreed, "k").select("own", "times", "told")
 
     def label_rows(batch: pa.RecordBatch) -> np.ndarray:
-        w = np.zeros((batch.num_rows, k))
-        for i, own in enumerate(batch.column(3).to_pylist()):
-            for s in own:
-                w[i, names.index(s)] = 1 / len(own)
-        out = np.zeros((DIM + 1, k))
-        out[:DIM] = document_rows(batch).product(w)
-        out[DIM] = w.sum(0)
-        return out
-
-    by_label = summed(labelled, k, label_rows)
-    rate = by_label[:DIM] / np.maximum(by_label[DIM], 1)
+        w = np.zeros((batch.num_rows, k), np.float32)
+        for i, told in enumerate(batch.column(2).to_pylist()):
+            for s in told:
+                w[i, names.index(s)] = 1 / len(told)
+        return np.vstack([rows_of(batch).product(w, size), w.sum(0)])
+
+    by_label = summed(labelled, size + 1, k, label_rows)
+    rate = by_label[:size] / np.maximum(by_label[size], 1)
     share = (rate + 0.02 * mean[:, None]) / np.maximum(rate.sum(1) + 0.02 * k * mean, 1e-12)[:, None]
     floor = 1 / k + MARGIN * (1 - 1 / k)
     seed = np.maximum(share - floor, 0) * mean[:, None]
     for j, name in enumerate(names):
-        for t in terms(_WORD.findall(normal(f"{name} {described[name]}").casefold())):
-            seed[t, j] += DESCRIBED * mean[t]
+        for t in columns[terms(_WORD.findall(normal(f"{name} {described[name]}").casefold()))]:
+            if t >= 0:
+                seed[t, j] += DESCRIBED * mean[t]
     seed = unit(seed)
     # Free components keep off the terms that seed a subject, else one of them may grow into it.
     general = 1 - np.clip((share.max(1) - floor) / max(1 - floor, 1e-12), 0, 1)[:, None]
-    start = general * mean[:, None] * np.random.default_rng(7).uniform(0.5, 1.5, (DIM, FREE))
-    ht = np.hstack([seed + 1e-3 * unit(mean[:, None]), unit(start)])
+    start = general * mean[:, None] * np.random.default_rng(7).uniform(0.5, 1.5, (size, FREE))
+    ht, moved = np.hstack([seed + 1e-3 * unit(mean[:, None]), unit(start)]), []
 
-    for _ in range(PASSES):
-        now = spark.sparkContext.broadcast(ht)
+    while size and len(moved) < MAX_PASSES and (not moved or moved[-1] > TOLERANCE):
+        now = spark.sparkContext.broadcast(ht.astype(np.float32))
 
         def products(batch: pa.RecordBatch) -> np.ndarray:
-            x = document_rows(batch)
+            x = rows_of(batch)
             w = mixtures(x, now.value)  # noqa: B023
-            return np.vstack([x.product(w), w.T @ w])
+            return np.vstack([x.product(w, size), w.T @ w])
 
-        both = summed(matrix, width, products)
-        new = unit(ht * both[:DIM] / np.maximum(ht @ both[DIM : DIM + width], 1e-12))
+        both = summed(counts, size + width, width, products)
+        new = unit(updated(ht, both[:size], both[size:]))
         new[:, :k] = ANCHOR * seed + (1 - ANCHOR) * new[:, :k]
         new[:, k:] *= general
-        ht = unit(new)
-    return Model(names, weight, ht)
+        new = unit(new)
+        moved.append(float(np.linalg.norm(new[:, :k] - ht[:, :k]) / max(np.linalg.norm(ht[:, :k]), 1e-12)))
+        ht = new
+        now.unpersist()
+    return Model(names, columns, weight, ht.astype(np.float32), moved)
 
 
 def assign(matrix: DataFrame, model: Model, key: str = "doc_id", least: float = QUARTER) -> DataFrame:
@@ -310,7 +353,7 @@ def assign(matrix: DataFrame, model: Model, key: str = "doc_id", least: float =
             d, j = np.nonzero(share >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), pa.array([m.subjects[i] for i in j], pa.string()), pa.array(share[d, j])], names=["k", "subject", "share"])
 
-    return matrix.mapInArrow(run, f"k {kind}, subject string, share double").withColumnRenamed("k", key)
+    return matrix.select("k", "terms", "sizes").mapInArrow(run, f"k {kind}, subject string, share double").withColumnRenamed("k", key)
 
 
 def subject_areas(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from loomline.llm.subjects import Rows, mixtures, sentences, subject_areas
+from loomline.llm.subjects import Rows, mixtures, sentences, subject_areas, updated
 
 TOPICS = {"law": "court judge appeal verdict clause lawyer trial jury statute brief", "music": "violin chord encore singer rhythm score drum tune melody choir", "food": "dough oven spice broth menu recipe pastry whisk caramel soup"}
 SMALL_TALK = ["good morning everybody", "we can pick this up later", "let me share that in a second"]
@@ -47,12 +47,37 @@ def test_updates_reduce_the_error():
     dense = w @ h
     row, col = np.nonzero(dense)
     x = Rows(col, dense[row, col], np.cumsum(np.bincount(row, minlength=40)))
+    assert np.allclose(x.dot(h.T), dense @ h.T) and np.allclose(x.product(w, 2000), dense.T @ w)
     ht = np.zeros((1 << 15, 3))
     ht[:2000] = h.T
     got = mixtures(x, ht)
     assert np.linalg.norm(dense - got @ h) < 0.15 * np.linalg.norm(dense)
 
 
+def test_alternating_updates_converge():
+    rnd = np.random.default_rng(1)
+    w, h = rnd.random((60, 3)), rnd.random((3, 500)) * (rnd.random((3, 500)) < 0.3)
+    x = w @ h
+    row, col = np.nonzero(x)
+    rows = Rows(col, x[row, col], np.cumsum(np.bincount(row, minlength=60)))
+    ht, errors = rnd.random((500, 3)), []
+    for _ in range(30):
+        got = mixtures(rows, ht)
+        errors.append(np.linalg.norm(x - got @ ht.T))
+        ht = updated(ht, rows.product(got, 500), got.T @ got)
+    assert errors[-1] < 0.05 * errors[0] and ht.min() >= 0
+
+
+def test_more_subjects_than_usual(spark):
+    subjects = [a + b + "ra" for a in ("ka", "lo", "mi", "su", "ve", "do", "ni", "pa", "ge") for b in ("ran", "tel", "vor", "dix", "bus", "hem", "jol", "quy", "wos", "fap")]
+    docs = [(i, " ".join(f"The {s}word beside the {s}thing." for _ in range(4)), s) for i in range(450) for s in [subjects[i % 90]]]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, own string")
+    la = spark.createDataFrame([(i, "a", s) for i, _, s in docs[:180]], "doc_id bigint, annotator string, subject string")
+    su = spark.createDataFrame([(s, s) for s in subjects], "subject string, description string")
+    got = {(r.doc_id, r.subject) for r in subject_areas(d, la, su).collect()}
+    assert len(got & {(i, s) for i, _, s in docs}) > 0.95 * 450 and len(got) < 1.05 * 450
+
+
 def test_sentences():
     assert [" ".join(s) for s in sentences("# Title\n\n[00:00:01] Speaker 1: One two. Three four!\nA: five six")] == ["one two", "three four", "five six"]
     assert 7 <= len(sentences("word " * 100)) <= 8 and sentences("") == [] and sentences("**Speaker 1** · 00:07\nhi there") == [["hi", "there"]]
