@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.operators.changes import BucketState, apply_changes, current, merge_into, publish
+from loomline.operators.changes import BucketState, _pointer, apply_changes, buckets_for, current, merge_into, publish, vacuum
 from loomline.session import scratch
 
 DDL = "id string, seq bigint, deleted boolean, note struct<a:int,b:array<string>>, k string"
@@ -69,6 +69,45 @@ def test_publish_is_seen_whole(spark):
     assert before.count() == 10 and current(spark, target).count() == 3
 
 
+def test_feeds_touch_only_their_buckets(spark):
+    target = scratch(spark, "t")
+    rows = [r for r in feed(500, 3) if r[0] is not None and r[1] is not None]
+    mk = lambda rs: spark.createDataFrame(rs, DDL)
+    merge_into(mk(rows[:250]), target, buckets=16)
+    places = _pointer(spark, target)["places"]
+    merge_into(mk([r for r in rows[250:] if r[0] == "n0"]), target)
+    after = _pointer(spark, target)
+    assert after["buckets"] == 16 and sum(places[b] != v for b, v in after["places"].items()) == 1
+    assert {(r.id, r.seq, bool(r.deleted)) for r in merge_into(mk(rows[250:]), target).collect()} == {(k, *v) for k, v in brute(rows).items()}
+    more = merge_into(mk(rows[:9]), target, buckets=40)  # more than twice as many: all is written anew
+    assert _pointer(spark, target)["buckets"] == 40 and len(set(_pointer(spark, target)["places"].values())) == 1
+    assert vacuum(spark, target) > 0 and {(r.id, r.seq) for r in more.collect()} == {(k, v[0]) for k, v in brute(rows).items()}
+    assert merge_into(mk([]), scratch(spark, "e")).count() == 0 and merge_into(mk([]), target).count() == more.count()
+
+
+def test_buckets_follow_the_size(spark, monkeypatch):
+    import loomline.operators.changes as c
+
+    path = scratch(spark, "feed")
+    spark.createDataFrame(feed(500, 4), DDL).write.parquet(path)
+    df = spark.read.parquet(path)
+    assert buckets_for(df) == buckets_for(spark.createDataFrame(feed(9, 4), DDL)) == 4
+    monkeypatch.setattr(c, "SMALL_BUCKET_BYTES", 1)
+    monkeypatch.setattr(c, "BUCKET_ROWS", 50)
+    assert buckets_for(df) >= 600 // 50
+
+
+def test_combine_hands_on_early(monkeypatch):
+    import pyarrow as pa
+
+    import loomline.operators.changes as c
+
+    monkeypatch.setattr(c, "MIN_HELD_ROWS", 1)
+    monkeypatch.setattr(c, "COMBINE_KEYS", 2)
+    rows = [pa.RecordBatch.from_pylist([{"__cf_key": k, "__cf_seq": i, "__cf_del": False, "__cf_fp": 0} for k in "abc"]) for i in range(3)]
+    assert sum(b.num_rows for b in c._combine(rows)) == 9 and sum(b.num_rows for b in c._upsert(rows)) == 3
+
+
 def test_compaction_keeps_the_rows(monkeypatch):
     import pyarrow as pa
 
