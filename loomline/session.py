@@ -8,14 +8,20 @@ is a local folder used.
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+#: Scratch paths of each application that may still be there, and the applications that have the library.
+_USED: dict[str, list[str]] = {}
+_SHIPPED: set[str] = set()
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -56,8 +62,50 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/loomline/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder, deleted when the application ends or by ``drop_scratch``."""
+    path = f"{shared_dir(spark)}/loomline/{name}-{uuid.uuid4().hex[:12]}"
+    app = spark.sparkContext.applicationId
+    if app not in _USED:
+        _USED[app] = []
+        atexit.register(_drop, spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), _USED[app])
+    _USED[app].append(path)
+    return path
+
+
+def _drop(jvm, configuration, paths: list[str]) -> None:
+    while paths:
+        try:
+            place = jvm.org.apache.hadoop.fs.Path(paths.pop())
+            place.getFileSystem(configuration).delete(place, True)
+        except Exception:  # noqa: BLE001  the JVM has gone, and with it what could delete
+            return
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what the operators have written to the shared folder so far; results not yet read are lost with it."""
+    _drop(spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), _USED.get(spark.sparkContext.applicationId, []))
+
+
+def ship_library(spark: SparkSession) -> None:
+    """Give the Python workers this library, once an application: its folder on a local master, else an archive."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    if sc.master.startswith("local["):
+        sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [str(root.parent), sc.environment.get("PYTHONPATH", "")]))
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    path = scratch(spark, "library") + ".zip"
+    _USED[sc.applicationId].append(path)
+    fs, place = hadoop_fs(spark, path)
+    out = fs.create(place, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(path)
 
 
 def checkpointed(df: DataFrame, name: str = "stage") -> DataFrame:

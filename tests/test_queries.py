@@ -1,6 +1,8 @@
 """Every query with SQL against DuckDB at the smallest scale, and the driver's contract."""
 
 import importlib
+import os
+import subprocess
 import sys
 
 import pytest
@@ -36,3 +38,35 @@ def test_works_without_the_subpackage(monkeypatch):
     assert set(importlib.reload(e).queries()) == set(QUERIES)
     monkeypatch.undo()
     importlib.reload(e)
+
+
+def test_a_broken_subpackage_is_an_error(monkeypatch):
+    import __spark_entry__ as e
+
+    broken = type(sys)("loomline.llm")
+    monkeypatch.setitem(sys.modules, "loomline.llm", broken)
+    monkeypatch.delitem(sys.modules, "loomline.llm.queries", raising=False)
+    broken.__path__ = []
+    monkeypatch.setattr(broken, "__getattr__", lambda name: (_ for _ in ()).throw(ModuleNotFoundError("No module named 'other'", name="other")), raising=False)
+    with pytest.raises(ImportError):
+        importlib.reload(e)
+    monkeypatch.undo()
+    importlib.reload(e)
+
+
+def test_the_library_reaches_workers_elsewhere(sf, tmp_path):
+    """A driver started in another folder, on executors of their own."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+from loomline.session import shared_dir, drop_scratch
+s = SparkSession.builder.master("local-cluster[1,1,900]").config("spark.checkpoint.dir", "file://{tmp_path}/shared").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.executor.memory", "900m").getOrCreate()
+print("ROWS", e.queries()["chunk_greedy"](s, {sf!r}).count(), len(e.queries()["p1_found"](s, {sf!r}).collect()))
+drop_scratch(s)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
+    assert not list((tmp_path / "shared" / "loomline").iterdir())
