@@ -115,6 +115,11 @@ def written_excerpt(c: Column) -> Column:
     return cut(trim_ws(c), 120, 120)
 
 
+def legacy_excerpt(c: Column) -> Column:
+    """The text of an old dictation on one line, cut after 120 characters."""
+    return cut(collapse_ws(c), 120, 120)
+
+
 def short_title(c: Column) -> Column:
     """The first eight words without punctuation at the end."""
     t = F.regexp_replace(F.array_join(F.slice(words(c), 1, 8), " "), r"[^\p{IsAlphabetic}\p{N}]+$", "")

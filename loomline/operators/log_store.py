@@ -22,17 +22,21 @@ def usable(log: DataFrame) -> DataFrame:
     return log.filter(ok)
 
 
-def replay(log: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
+def replay(log: DataFrame, columns: list[str] | None = None, key: str = "id", seq: str = "seq") -> DataFrame:
     """The last version of each key, with ``first_seq``, where the key first appeared.
 
-    Rows without key or sequence are ignored. Of versions with one sequence number a delete wins, then the larger fingerprint.
+    ``columns`` are those of use besides key, sequence and ``deleted``; only these are read, hashed and shuffled (None: all).
+    Rows without key or sequence are ignored. Of versions with one sequence number a delete wins, then the larger
+    fingerprint over the columns of use.
     """
-    columns = [c for c in log.columns if c != "first_seq"]
-    rows = log.filter(F.col(key).isNotNull() & F.col(seq).isNotNull()).select(*columns)
-    dead = F.coalesce(F.col("deleted"), F.lit(False)) if "deleted" in columns else F.lit(False)
-    rank = F.struct(F.col(seq).alias("seq"), dead.alias("deleted"), F.xxhash64(*columns).alias("fp"))
-    last = rows.groupBy(key).agg(F.max_by(F.struct(*columns), rank).alias("r"), F.min(seq).alias("first_seq"))
-    return last.select(*[F.col(f"r.{c}").alias(c) for c in columns], "first_seq")
+    kept = [c for c in log.columns if c not in ("first_seq", key) and (columns is None or c in (*columns, seq, "deleted"))]
+    payload = [c for c in kept if c not in (seq, "deleted")]
+    rows = log.filter(F.col(key).isNotNull() & F.col(seq).isNotNull()).select(key, *kept)
+    dead = F.coalesce(F.col("deleted"), F.lit(False)) if "deleted" in kept else F.lit(False)
+    rank = F.struct(F.col(seq).alias("seq"), dead.alias("deleted"), *([F.xxhash64(*payload).alias("fp")] if payload else []))
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*kept), rank).alias("r"), F.min(seq).alias("first_seq"))
+    order = [c for c in log.columns if c in (key, *kept)]
+    return last.select(*[F.col(key) if c == key else F.col(f"r.{c}").alias(c) for c in order], "first_seq")
 
 
 def live(state: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions.score import instant
-from loomline.functions.text import segment_excerpt, short_title, trim_ws, word_count, written_excerpt
-from loomline.operators.log_store import live
+from loomline.functions.text import legacy_excerpt, segment_excerpt, short_title, trim_ws, word_count, written_excerpt
+from loomline.operators.log_store import live, merged_meta
 
 ITEM = ["id", "kind", "created_at", "title", "model", "word_count", "duration_secs", "excerpt", "has_markdown", "source"]
 
@@ -31,7 +31,7 @@ def legacy_markdown_items(files: DataFrame, records: DataFrame) -> DataFrame:
 
 def legacy_dictate_items(entries: DataFrame) -> DataFrame:
     """Old dictations (``id, timestamp, text``)."""
-    return entries.select(F.concat(F.lit("dictate::"), "id").alias("id"), F.lit("dictate").alias("kind"), F.col("timestamp").alias("created_at"), short_title(F.col("text")).alias("title"), F.lit("").alias("model"), word_count(F.col("text")).cast("bigint").alias("word_count"), F.lit(0).cast("bigint").alias("duration_secs"), written_excerpt(F.col("text")).alias("excerpt"), F.lit(False).alias("has_markdown"), F.lit("legacydictate").alias("source"))
+    return entries.select(F.concat(F.lit("dictate::"), "id").alias("id"), F.lit("dictate").alias("kind"), F.col("timestamp").alias("created_at"), short_title(F.col("text")).alias("title"), F.lit("").alias("model"), word_count(F.col("text")).cast("bigint").alias("word_count"), F.lit(0).cast("bigint").alias("duration_secs"), legacy_excerpt(F.col("text")).alias("excerpt"), F.lit(False).alias("has_markdown"), F.lit("legacydictate").alias("source"))
 
 
 def unified_list(records: DataFrame, files: DataFrame, entries: DataFrame) -> DataFrame:
@@ -44,6 +44,36 @@ def newest_first(items: DataFrame) -> DataFrame:
     return items.orderBy(F.desc("created_at"), "first_seq" if "first_seq" in items.columns else "id")
 
 
+def latest_files(files: DataFrame) -> DataFrame:
+    """Exported files, the last modified first, by the text of the date."""
+    return files.orderBy(F.desc("modified_at"), "path")
+
+
+def path_order(files: DataFrame) -> DataFrame:
+    """O08."""
+    return files.orderBy("path")
+
+
+def recent(items: DataFrame, n: int = 6) -> DataFrame:
+    """The first few of the newest-first list, a top-k per task and one of their results."""
+    return newest_first(items).limit(n)
+
+
+def previews(items: DataFrame, most: int = 3) -> DataFrame:
+    """At most the first three tags."""
+    return items.withColumn("tags", F.slice(F.coalesce("tags", F.array().cast("array<string>")), 1, most))
+
+
+def own_turns(blocks: DataFrame, name: str, only_own: bool) -> DataFrame:
+    """All turns, or those of the user, whose label is ``You`` or their display name."""
+    return blocks.filter(F.col("label").isin("You", name)) if only_own else blocks
+
+
+def without_item(queue: DataFrame, key: str) -> DataFrame:
+    """P25: a queue without one item."""
+    return queue.filter(~F.col("id").eqNullSafe(F.lit(key)))
+
+
 def neighbours(items: DataFrame, key: str) -> tuple[str | None, str | None]:
     """Ids of the items before and after one in the newest-first list, each by a cut of one row."""
     own = items.filter(F.col("id") == key).select("created_at", "id").first()
@@ -70,10 +100,16 @@ def with_any_tag(items: DataFrame, tags: list[str]) -> DataFrame:
     return items.filter(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags]))) if tags else items
 
 
-def tag_vocabulary(meta: DataFrame) -> DataFrame:
-    """How often each tag is on a note, repeats on a note included."""
-    tags = meta.select(F.explode("tags").alias("t")).select(trim_ws(F.col("t")).alias("tag")).filter("tag <> ''")
-    return tags.groupBy("tag").agg(F.count("*").alias("count"))
+def tag_vocabulary(meta: DataFrame, records: DataFrame) -> DataFrame:
+    """How often each tag is on a live note, repeats on a note included; order it with ``by_name``."""
+    known = live(records).select(F.col("id").alias("note_id"))
+    tags = merged_meta(meta.select("note_id", "tags")).join(known, "note_id", "left_semi").select(F.explode("tags").alias("t"))
+    return tags.select(trim_ws(F.col("t")).alias("tag")).filter("tag <> ''").groupBy("tag").agg(F.count("*").alias("count"))
+
+
+def by_name(vocabulary: DataFrame) -> DataFrame:
+    """O06."""
+    return vocabulary.orderBy("tag")
 
 
 def recorded_this_week(items: DataFrame, now: str) -> DataFrame:

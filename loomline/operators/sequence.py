@@ -45,3 +45,19 @@ def with_latest(df: DataFrame, keys: list[str], order: list[str], value: Column,
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select(*slot, F.last("__last", ignorenulls=True).over(before).alias("__carried"))
     return local.join(carried, slot).withColumn(into, F.coalesce("__local", "__carried")).drop("__local", "__carried", "__v")
+
+
+def gathered(at: Column, text: Column, between: str) -> Column:
+    """Aggregate: the texts of a group in order of ``at``, with ``between`` between them; null if there are none."""
+    rows = F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct(at.alias("at"), text.alias("t")))))
+    return F.when(F.count(text) > 0, F.array_join(F.transform(rows, lambda x: x["t"]), between))
+
+
+def joined_text(df: DataFrame, group: list[str], order: list[str], text: str, into: str, between: str, time: str | None = None, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """``group`` and ``into``, the group's texts in ``order``, with ``between`` between them; null texts are left out.
+
+    A time bucket's texts are joined first, so no task sorts a large group's rows; only its few long parts meet.
+    """
+    place = F.struct(*[F.col(c) for c in order])
+    parts = df.groupBy(*group, F.floor(F.col(time or order[0]) / F.lit(bucket_ms)).alias("__part")).agg(gathered(place, F.col(text), between).alias("__text"))
+    return parts.groupBy(*group).agg(F.coalesce(gathered(F.col("__part"), F.col("__text"), between), F.lit("")).alias(into))

@@ -1,27 +1,32 @@
 """The transcript dataflow: channels, speakers, turns, paragraphs and rendering.
 
-Lines have ``recording_id, pos, start_ms, end_ms, text, source``. Look-backs are split by (recording, time bucket), and
-the overlap join by (recording, time slot), so that no recording is one task.
+Lines have ``recording_id, pos, start_ms, end_ms, text, source``. Look-backs are split by (recording, time bucket), texts are
+joined by bucket first, and the overlap join meets in slots as long as the spans, so that no recording is one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomline.functions.text import cleanup_text, dedup_consecutive_phrases, dedup_exact_halves, dedup_repeated_block, format_hms, format_ms, is_silence_phrase, trim_ws, word_count
 from loomline.operators.fold import Fold, fold_sorted
-from loomline.operators.sequence import bucketed, with_latest, with_previous
+from loomline.operators.sequence import BUCKET_MS, bucketed, gathered, joined_text, with_latest, with_previous
+from loomline.session import checkpointed
 
 PARAGRAPH_GAP_MS = 8_000
 NEAR_DUPLICATE_MS = 1_500
-SLOT_MS, DAY_MS = 60_000, 86_400_000
+#: The shortest slot in which spans meet is 2 to this power of milliseconds long, about a minute; longer spans have longer slots.
+LEAST_BITS = 16
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """Lines without repeated deliveries; those without recording or place are left out."""
-    kept = [c for c in ("recording_id", "channel", "pos", "start_ms", "end_ms", "text", "source", "speaker") if c in lines.columns]
-    return lines.select(*kept).filter("recording_id IS NOT NULL AND pos IS NOT NULL").dropDuplicates(["recording_id", "pos"])
+    """One row a line, that of its latest delivery (``logged_at``), else of the larger fingerprint; lines without recording or place are left out."""
+    kept = [c for c in ("channel", "start_ms", "end_ms", "text", "source", "speaker") if c in lines.columns]
+    rank = F.struct(*([F.col("logged_at")] if "logged_at" in lines.columns else []), F.xxhash64(*kept).alias("fp"))
+    rows = lines.filter("recording_id IS NOT NULL AND pos IS NOT NULL").groupBy("recording_id", "pos").agg(F.max_by(F.struct(*kept), rank).alias("l"))
+    return rows.select("recording_id", "pos", *[F.col(f"l.{c}").alias(c) for c in kept])
 
 
 def drop_silence_phrases(lines: DataFrame) -> DataFrame:
@@ -43,18 +48,14 @@ def merge_neighbours(lines: DataFrame, same: list[str], order: list[str], gap_ms
     if gap_ms is not None:
         opens |= F.coalesce(F.col("start_ms") - F.col("prev.end_ms") >= gap_ms, F.lit(True))
     marked = with_latest(seen.withColumn("opens", opens), ["recording_id"], order, F.when(F.col("opens"), F.struct(*order)), "first")
-    place = F.struct(*order)
-    return (
-        marked.groupBy("recording_id", "first", *same)
-        .agg(
-            F.min_by("start_ms", place).alias("start_ms"),
-            F.max_by("end_ms", F.when(F.col("end_ms").isNotNull(), place)).alias("end_ms"),
-            F.count("*").alias("n_lines"),
-            F.array_sort(F.collect_list(F.struct(*order, F.col("text")))).alias("__lines"),
-        )
-        .withColumn("text", F.array_join(F.transform("__lines", lambda x: x["text"]), " "))
-        .drop("__lines")
+    place, group = F.struct(*order), ["recording_id", "first", *same]
+    parts = marked.groupBy(*group, "__b").agg(
+        F.min(F.struct(place.alias("at"), F.col("start_ms"))).alias("lo"),
+        F.max(F.when(F.col("end_ms").isNotNull(), F.struct(place.alias("at"), F.col("end_ms")))).alias("hi"),
+        F.count("*").alias("n"),
+        gathered(place, F.col("text"), " ").alias("t"),
     )
+    return parts.groupBy(*group).agg(F.min("lo").getField("start_ms").alias("start_ms"), F.max("hi").getField("end_ms").alias("end_ms"), F.sum("n").alias("n_lines"), gathered(F.col("__b"), F.col("t"), " ").alias("text"))
 
 
 def channel_blocks(lines: DataFrame) -> DataFrame:
@@ -70,36 +71,48 @@ def label_turns(chunks: DataFrame) -> DataFrame:
     return merge_neighbours(rows, ["label"], ["start_ms", "id"])
 
 
-def paragraphs(lines: DataFrame) -> DataFrame:
-    """Cleaned lines without gaps of eight seconds, of one channel."""
-    rows = lines.withColumn("text", cleanup_text(F.col("text"))).filter("text <> ''")
+def paragraphs(lines: DataFrame, clean=cleanup_text) -> DataFrame:
+    """Lines that are not blank once cleaned, without gaps of eight seconds, of one channel. ``clean`` makes the text that stays."""
+    rows = lines.withColumn("text", clean(F.col("text"))).filter("text <> ''")
     rows = rows.withColumn("channel_key", F.when(F.col("source") == "speaker", "speaker").otherwise("mic"))
     return merge_neighbours(rows, ["channel_key"], ["start_ms", "pos"], PARAGRAPH_GAP_MS)
 
 
+def label_rank(label: Column) -> Column:
+    """Numbered speakers in order of their numbers, then other labels in order of their text."""
+    number = F.regexp_extract(label, r"^Speaker ([1-9]\d{0,17})$", 1).try_cast("bigint")
+    return F.struct(F.coalesce(number, F.lit(2**63 - 1)).alias("number"), label.alias("label"))
+
+
 def align_speakers(lines: DataFrame, ranges: DataFrame, line_key: str = "pos", label: str = "label") -> DataFrame:
-    """The label that overlaps each line longest; on a tie the smallest; ``Other`` without overlap.
+    """The label that overlaps each line longest; on a tie the lowest speaker number; ``Other`` without overlap.
 
-    Gives ``recording_id, line_key, label, overlap_ms``. The pair of a line and a range meets in the first time slot both
-    lie in, so it counts once. Times below zero count as zero; spans without a time or length overlap nothing.
+    Gives ``recording_id, line_key, label, overlap_ms``. A span lies in slots of its own length, three at most, and, for the
+    longer spans of the other side, in theirs. A pair meets in slots of the longer one's length, in the first
+    that both lie in, so it counts once. Times below zero count as zero; spans without a time or length overlap nothing.
     """
-    clamp = lambda c: F.greatest(F.col(c), F.lit(0))
+    clamp = lambda c: F.greatest(F.col(c), F.lit(0)).cast("bigint")
     own = lines.select("recording_id", line_key, "start_ms", "end_ms").filter(F.col("recording_id").isNotNull())
     spans = own.filter("end_ms > start_ms AND end_ms > 0").select("recording_id", line_key, clamp("start_ms").alias("s"), clamp("end_ms").alias("e"))
     turns = ranges.filter(F.col("recording_id").isNotNull() & F.col(label).isNotNull()).filter("end_ms > start_ms AND end_ms > 0")
     turns = turns.select("recording_id", F.col(label).alias("label"), clamp("start_ms").alias("rs"), clamp("end_ms").alias("re"))
 
-    def meet(some: DataFrame, others: DataFrame, slot_ms: int) -> DataFrame:
-        slots = lambda a, z: F.explode(F.sequence(F.floor(F.col(a) / slot_ms), F.floor((F.col(z) - 1) / slot_ms)))
-        pairs = some.withColumn("slot", slots("s", "e")).join(others.withColumn("slot", slots("rs", "re")), ["recording_id", "slot"])
-        return pairs.filter("s < re AND rs < e").filter(F.col("slot") == F.floor(F.greatest("s", "rs") / slot_ms))
+    bits = lambda a, z: F.least(F.greatest(F.ceil(F.log2((F.col(z) - F.col(a)).cast("double"))), F.lit(LEAST_BITS)), F.lit(63)).cast("int")
+    spans, turns = spans.withColumn("own", bits("s", "e")), turns.withColumn("own_r", bits("rs", "re"))
+    lengths = lambda df, c: [r[0] for r in df.select(c).distinct().collect()]  # noqa: E731  at most 48 numbers
+    slots = lambda a, z: F.explode(F.expr(f"sequence(shiftright({a}, least(bits, 62)), shiftright({z} - 1, least(bits, 62)))"))
+
+    def placed(df: DataFrame, mine: str, others: list[int], a: str, z: str) -> DataFrame:
+        levels = F.array_union(F.array(F.col(mine)), F.filter(F.array(*[F.lit(x) for x in others]).cast("array<int>"), lambda x: x > F.col(mine)))
+        return df.withColumn("bits", F.explode(levels)).withColumn("slot", slots(a, z))
 
-    # Spans of more than a day would lie in very many slots; the few there are meet the others by days.
-    long_s, long_r = F.col("e") - F.col("s") > DAY_MS, F.col("re") - F.col("rs") > DAY_MS
-    shared = meet(spans.filter(~long_s), turns.filter(~long_r), SLOT_MS).unionByName(meet(spans.filter(long_s), turns, DAY_MS)).unionByName(meet(spans.filter(~long_s), turns.filter(long_r), DAY_MS))
+    pairs = placed(spans, "own", lengths(turns, "own_r"), "s", "e").join(placed(turns, "own_r", lengths(spans, "own"), "rs", "re"), ["recording_id", "bits", "slot"])
+    shared = pairs.filter("s < re AND rs < e AND bits = greatest(own, own_r) AND slot = shiftright(greatest(s, rs), least(bits, 62))")
     summed = shared.groupBy("recording_id", line_key, "label").agg(F.sum(F.least("e", "re") - F.greatest("s", "rs")).alias("overlap"))
-    best = summed.groupBy("recording_id", line_key).agg(F.min_by(F.struct("label", "overlap"), F.struct(-F.col("overlap"), F.col("label"))).alias("b"))
-    return own.select("recording_id", line_key).join(best, ["recording_id", line_key], "left").select("recording_id", line_key, F.coalesce("b.label", F.lit("Other")).alias("label"), F.coalesce("b.overlap", F.lit(0)).alias("overlap_ms"))
+    best = F.min(F.struct((-F.col("overlap")).alias("less"), label_rank(F.col("label")).alias("rank")))
+    every = own.select("recording_id", line_key, F.lit(None).cast("string").alias("label"), F.lit(0).cast("bigint").alias("overlap"))
+    chosen = summed.unionByName(every).groupBy("recording_id", line_key).agg(best.alias("b"))
+    return chosen.select("recording_id", line_key, F.coalesce("b.rank.label", F.lit("Other")).alias("label"), (-F.col("b.less")).alias("overlap_ms"))
 
 
 def aligned_blocks(lines: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -129,9 +142,10 @@ def merge_channels(lines: DataFrame) -> DataFrame:
 
 
 def granularity(lines: DataFrame) -> DataFrame:
-    """Number of lines and their lengths."""
+    """Number of lines with both times, and their lengths; reversed ones have none. Lines without a time don't count."""
     length = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0))
-    return lines.agg(F.count("*").alias("n"), F.expr("sum(greatest(end_ms - start_ms, 0)) div count(end_ms - start_ms)").alias("avg_ms"), F.min(length).alias("min_ms"), F.max(length).alias("max_ms"))
+    timed = lines.filter("start_ms IS NOT NULL AND end_ms IS NOT NULL").select(length.alias("n"))
+    return timed.agg(F.count("*").alias("n"), F.expr("sum(n) div count(n)").alias("avg_ms"), F.min("n").alias("min_ms"), F.max("n").alias("max_ms"))
 
 
 def clean_line(c: Column) -> Column:
@@ -146,23 +160,24 @@ def dictation_text(pieces: Column) -> Column:
 
 def render_bodies(lines: DataFrame, timestamps: bool = False) -> DataFrame:
     """``recording_id, body, word_count``: paragraphs with a blank line between."""
-    cleaned = lines.withColumn("text", clean_line(F.col("text")))
-    parts = paragraphs(cleaned)
+    # Written once: the look-backs of the paragraphs read it several times, and Python would make it anew each time.
+    kept = checkpointed(lines.select("recording_id", "pos", "start_ms", "end_ms", "source", clean_line(F.col("text")).alias("text")), "lines")
+    parts = paragraphs(kept, clean=lambda c: c)
     text = F.concat(F.lit("["), format_hms(F.col("start_ms")), F.lit("] "), F.col("text")) if timestamps else F.col("text")
-    joined = parts.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("first", text.alias("t"), F.col("text").alias("bare")))).alias("ps"))
-    return joined.select("recording_id", F.array_join(F.col("ps.t"), "\n\n").alias("body"), word_count(F.array_join(F.col("ps.bare"), " ")).cast("bigint").alias("word_count"))
+    rows = parts.select("recording_id", "first", F.col("first.start_ms").alias("at"), text.alias("t"), word_count(F.col("text")).alias("n"))
+    pieces = rows.groupBy("recording_id", F.floor(F.col("at") / BUCKET_MS).alias("b")).agg(gathered(F.col("first"), F.col("t"), "\n\n").alias("t"), F.sum("n").alias("n"))
+    return pieces.groupBy("recording_id").agg(gathered(F.col("b"), F.col("t"), "\n\n").alias("body"), F.sum("n").cast("bigint").alias("word_count"))
 
 
 def render_speaker_bodies(blocks: DataFrame, mic: str = "In", other: str = "Out") -> DataFrame:
     """``recording_id, body`` of blocks with ``first, label, start_ms, end_ms, text``; separators stand before all but the first."""
     label = F.when(F.col("label") == "In", mic).when(F.col("label") == "Out", other).otherwise(F.col("label"))
     times = F.when(F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull(), F.concat(F.lit(" · "), format_ms(F.col("start_ms")), F.lit("–"), format_ms(F.col("end_ms")))).otherwise("")
-    clean = clean_line(F.col("text"))
-    one = F.concat(F.lit("**["), label, F.lit("]**"), times, F.lit("\n\n"), F.col("__clean"))
-    rows = blocks.withColumn("__clean", clean)
-    gathered = rows.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("first", F.when(F.col("__clean") != "", one).alias("t")))).alias("bs"))
-    body = F.array_join(F.transform("bs", lambda b, i: F.when(b["t"].isNull(), F.lit("")).when(i == 0, b["t"]).otherwise(F.concat(F.lit("\n\n---\n\n"), b["t"]))), "")
-    return gathered.select("recording_id", body.alias("body"))
+    rows = checkpointed(blocks.select("recording_id", "first", F.concat(F.lit("**["), label, F.lit("]**"), times, F.lit("\n\n")).alias("head"), clean_line(F.col("text")).alias("clean")), "blocks")
+    firsts = rows.groupBy("recording_id").agg(F.min("first").alias("opening"))
+    marked = rows.join(firsts, "recording_id").withColumn("t", F.when(F.col("clean") != "", F.concat(F.when(F.col("first") == F.col("opening"), "").otherwise("\n\n---\n\n"), "head", "clean")))
+    time = "first.start_ms" if isinstance(blocks.schema["first"].dataType, StructType) else "first"
+    return joined_text(marked, ["recording_id"], ["first"], "t", "body", "", time=time)
 
 
 def markdown_document(title: Column, duration_ms: Column, words: Column, model: Column, body: Column, notes: Column | None = None) -> Column:

@@ -66,8 +66,12 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
     return log_store.usable(table(spark, sf, "history_log"))
 
 
-def records(spark: SparkSession, sf: str) -> DataFrame:
-    return log_store.replay(history(spark, sf))
+def records(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return log_store.replay(history(spark, sf), list(columns))
+
+
+#: Columns of a record that the lists need.
+SUMMARY = ["kind", "created_at", "title", "model", "word_count", "duration_ms", "written_content", "segments", "markdown_path"]
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,18 +98,18 @@ def query(sql: str | None = None):
 
 @query(f"WITH {_STATE} SELECT id, seq, first_seq, kind, title, coalesce(deleted, false) AS deleted FROM state")
 def lww_replay(spark, sf):
-    return records(spark, sf).select("id", "seq", "first_seq", "kind", "title", F.coalesce("deleted", F.lit(False)).alias("deleted"))
+    return records(spark, sf, "kind", "title").select("id", "seq", "first_seq", "kind", "title", F.coalesce("deleted", F.lit(False)).alias("deleted"))
 
 
 @query(f"WITH {_LIVE} SELECT id, kind, created_at, title, duration_ms, word_count FROM alive")
 def live_records(spark, sf):
-    return log_store.live(records(spark, sf)).select("id", "kind", "created_at", "title", "duration_ms", "word_count")
+    return log_store.live(records(spark, sf, "kind", "created_at", "title", "duration_ms", "word_count")).select("id", "kind", "created_at", "title", "duration_ms", "word_count")
 
 
 @query(f"""WITH {_LIVE}, meta AS (SELECT note_id, max(title) AS title, count(DISTINCT coalesce(title, '')) AS k FROM note_meta WHERE note_id IS NOT NULL GROUP BY note_id)
     SELECT id, CASE WHEN {s_trim("m.title")} <> '' THEN m.title ELSE a.title END AS title FROM alive a LEFT JOIN meta m ON a.id = m.note_id""")
 def sidecar_hydrate(spark, sf):
-    return log_store.hydrate(log_store.live(records(spark, sf)), table(spark, sf, "note_meta")).select("id", "title")
+    return log_store.hydrate(log_store.live(records(spark, sf, "title")), table(spark, sf, "note_meta")).select("id", "title")
 
 
 def s_excerpt(x: str) -> str:
@@ -117,7 +121,7 @@ def s_excerpt(x: str) -> str:
     SELECT id, kind, created_at, title, model, word_count, duration_ms // 1000 AS duration_secs, CASE WHEN kind = 'written' AND body <> '' THEN {s_excerpt("body")} ELSE {s_excerpt("said")} END AS excerpt,
         markdown_path IS NOT NULL AS has_markdown, 'store' AS source FROM parts""")
 def list_summaries(spark, sf):
-    return read_models.list_summaries(records(spark, sf)).select(*read_models.ITEM)
+    return read_models.list_summaries(records(spark, sf, *SUMMARY)).select(*read_models.ITEM)
 
 
 @query(f"""WITH {_LIVE}, parts AS (
@@ -127,29 +131,30 @@ def list_summaries(spark, sf):
     md AS (SELECT 'md::' || path AS id, 'scribe' AS kind, modified_at AS created_at, path AS title, 0 AS word_count, '' AS excerpt, 'legacymarkdown' AS source FROM files WHERE path NOT IN (SELECT markdown_path FROM alive WHERE markdown_path IS NOT NULL)),
     old AS (SELECT 'dictate::' || item_id AS id, 'dictate' AS kind, benchmark AS created_at,
         CASE WHEN regexp_replace(array_to_string({s_words("text")}[1:8], ' '), '[^\\p{{L}}\\p{{N}}]+$', '') = '' THEN 'Dictation' ELSE regexp_replace(array_to_string({s_words("text")}[1:8], ' '), '[^\\p{{L}}\\p{{N}}]+$', '') END AS title,
-        len({s_words("text")}) AS word_count, {s_excerpt(s_trim("text"))} AS excerpt, 'legacydictate' AS source FROM eval_items)
+        len({s_words("text")}) AS word_count, {s_excerpt(s_collapse("text"))} AS excerpt, 'legacydictate' AS source FROM eval_items)
     SELECT * FROM store UNION ALL SELECT * FROM md UNION ALL SELECT * FROM old""")
 def unified_list(spark, sf):
     path = F.concat(F.coalesce("save_folder", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
     files = table(spark, sf, "documents").select(path.alias("path"), path.alias("title"), F.lit("").alias("model"), F.col("created_at").alias("modified_at"))
     entries = table(spark, sf, "eval_items").select(F.col("item_id").cast("string").alias("id"), F.col("benchmark").alias("timestamp"), "text")
-    return read_models.unified_list(records(spark, sf), files, entries).select("id", "kind", "created_at", "title", "word_count", "excerpt", "source")
+    return read_models.unified_list(records(spark, sf, *SUMMARY), files, entries).select("id", "kind", "created_at", "title", "word_count", "excerpt", "source")
 
 
-@query(f"SELECT tag, count(*) AS count FROM (SELECT {s_trim('t')} AS tag FROM (SELECT unnest(tags) AS t FROM (SELECT DISTINCT * FROM note_meta))) WHERE tag <> '' GROUP BY tag")
+@query(f"""WITH {_LIVE}, tags AS (SELECT unnest(tags) AS t FROM (SELECT DISTINCT note_id, tags FROM note_meta WHERE note_id IN (SELECT id FROM alive)))
+    SELECT {s_trim("t")} AS tag, count(*) AS count FROM tags WHERE {s_trim("t")} <> '' GROUP BY tag""")
 def tag_vocabulary(spark, sf):
-    return read_models.tag_vocabulary(table(spark, sf, "note_meta").distinct())
+    return read_models.by_name(read_models.tag_vocabulary(table(spark, sf, "note_meta"), records(spark, sf)))
 
 
 @query(f"""WITH {_LIVE} SELECT CAST(sum(greatest(duration_ms // 1000, 0)) AS BIGINT) AS week_secs FROM (SELECT duration_ms, CAST(created_at AS TIMESTAMPTZ) AS d FROM alive)
     WHERE isoyear(d) = 2024 AND weekofyear(d) = 24 AND year(d) = 2024""")
 def iso_week_total(spark, sf):
-    return read_models.recorded_this_week(read_models.list_summaries(records(spark, sf)), NOW)
+    return read_models.recorded_this_week(read_models.list_summaries(records(spark, sf, *SUMMARY)), NOW)
 
 
 @query(f"WITH {_LIVE} SELECT count(*) AS notes, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in ("scribe", "dictate", "transcribe", "written")) + " FROM alive")
 def counts_by_kind(spark, sf):
-    return read_models.counts_by_kind(records(spark, sf))
+    return read_models.counts_by_kind(records(spark, sf, "kind"))
 
 
 @query("""SELECT note_id, len(coalesce(tags, [])) > 0 OR len(coalesce(keywords, [])) > 0 OR len(coalesce(layer_item_ids, [])) > 0 AS described FROM (SELECT DISTINCT * FROM note_meta)""")
@@ -159,7 +164,7 @@ def has_metadata(spark, sf):
 
 
 @query(f"""WITH {_LINES} SELECT count(*) AS n, CAST(sum(greatest(end_ms - start_ms, 0)) // count(end_ms - start_ms) AS BIGINT) AS avg_ms,
-    min(CASE WHEN end_ms IS NOT NULL AND start_ms IS NOT NULL THEN greatest(end_ms - start_ms, 0) ELSE 0 END) AS min_ms, max(CASE WHEN end_ms IS NOT NULL AND start_ms IS NOT NULL THEN greatest(end_ms - start_ms, 0) ELSE 0 END) AS max_ms FROM lines""")
+    min(greatest(end_ms - start_ms, 0)) AS min_ms, max(greatest(end_ms - start_ms, 0)) AS max_ms FROM lines WHERE end_ms IS NOT NULL AND start_ms IS NOT NULL""")
 def segment_granularity(spark, sf):
     return transcript.granularity(lines(spark, sf))
 
@@ -168,7 +173,7 @@ def segment_granularity(spark, sf):
         SELECT l.recording_id, l.pos, t.label, sum(least(l.end_ms, t.end_ms) - greatest(l.start_ms, t.start_ms, 0)) AS o
         FROM lines l JOIN turns t ON l.recording_id = t.recording_id AND greatest(l.start_ms, 0) < t.end_ms AND greatest(t.start_ms, 0) < l.end_ms
         WHERE l.end_ms > l.start_ms AND t.end_ms > t.start_ms AND t.label IS NOT NULL GROUP BY ALL),
-    best AS (SELECT *, row_number() OVER (PARTITION BY recording_id, pos ORDER BY o DESC, label) AS n FROM pairs)
+    best AS (SELECT *, row_number() OVER (PARTITION BY recording_id, pos ORDER BY o DESC, TRY_CAST(regexp_extract(label, '^Speaker ([1-9][0-9]*)$', 1) AS BIGINT) NULLS LAST, label) AS n FROM pairs)
     SELECT l.recording_id, l.pos, coalesce(label, 'Other') AS label, CAST(coalesce(o, 0) AS BIGINT) AS overlap_ms FROM lines l LEFT JOIN best b ON l.recording_id = b.recording_id AND l.pos = b.pos AND n = 1""")
 def speaker_align(spark, sf):
     return transcript.align_speakers(lines(spark, sf), turns(spark, sf))
@@ -269,7 +274,7 @@ def chunk_written(spark, sf):
 
 @query()
 def build_index(spark, sf):
-    return chunking.build_index(records(spark, sf), table(spark, sf, "note_meta")).drop("vector")
+    return chunking.build_index(records(spark, sf, "title", "kind", "created_at", "segments", "speaker_blocks", "written_content"), table(spark, sf, "note_meta")).drop("vector")
 
 
 _CHUNKS = "c AS (SELECT DISTINCT * FROM chunks)"
@@ -410,7 +415,7 @@ def html_safe(spark, sf):
 
 @query()
 def corpus_fingerprint(spark, sf):
-    return chunking.fingerprint(records(spark, sf))
+    return chunking.fingerprint(records(spark, sf, "created_at", "title", "word_count", "segments", "written_content"))
 
 
 @query()

@@ -42,6 +42,27 @@ def test_alignment_over_many_slots(spark):
         assert got[i] == (want, by.get(want, 0))
 
 
+def test_alignment_of_endless_spans_and_many_speakers(spark):
+    ls = lines(spark, [(0, 9 * 10**18, "x", None, "mic"), (5, 1000, "y", None, "mic"), (-5, 5, "z", None, "mic")])
+    rs = ranges(spark, [(f"Speaker {i}", 0, 1000) for i in range(11, 1, -1)] + [("Ann", 0, 1000)])
+    got = {r.pos: (r.label, r.overlap_ms) for r in t.align_speakers(ls, rs).collect()}
+    assert got == {0: ("Speaker 2", 1000), 1: ("Speaker 2", 995), 2: ("Speaker 2", 5)}
+    long = ranges(spark, [("Speaker 3", 0, 9 * 10**18), ("Speaker 4", 10**17, 2 * 10**17)])
+    assert {r.pos: (r.label, r.overlap_ms) for r in t.align_speakers(ls, long).collect()} == {0: ("Speaker 3", 9 * 10**18), 1: ("Speaker 3", 995), 2: ("Speaker 3", 5)}
+    assert {r.label for r in t.align_speakers(ls, rs.limit(0)).collect()} == {"Other"} and t.align_speakers(ls.limit(0), rs).count() == 0
+
+
+def test_the_latest_delivery_counts(spark):
+    rows = [("r", 1, "old", "2024-01-01 00:00:00"), ("r", 1, "new", "2024-01-02 00:00:00"), ("r", 2, "same", None), ("r", 2, "same", None), (None, 3, "x", None)]
+    df = spark.createDataFrame(rows, "recording_id string, pos int, text string, at string").withColumn("logged_at", F.col("at").cast("timestamp"))
+    assert sorted((r.pos, r.text) for r in t.distinct_lines(df).collect()) == [(1, "new"), (2, "same")]
+
+
+def test_granularity_counts_timed_lines(spark):
+    got = t.granularity(lines(spark, [(0, 10, "", "", ""), (5, None, "", "", ""), (9, 4, "", "", "")])).first()
+    assert tuple(got) == (2, 5, 0, 10) and t.granularity(lines(spark, []).limit(0)).first().n == 0
+
+
 def test_turns_of_aligned_lines(spark):
     four = lines(spark, [(i * 1000, i * 1000 + 1000, x, None, "mic") for i, x in enumerate(["A one.", "A two.", "B one.", "A again."])])
     rs = ranges(spark, [("Speaker 1", 0, 2000), ("Speaker 2", 2000, 3000), ("Speaker 1", 3000, 4000)])
