@@ -35,12 +35,8 @@ def main(argv: list[str] | None = None) -> int:
     target = f"file://{folder}/.index"
     if args.command == "index":
         log, _ = read_log(spark, f"{folder}/history.jsonl")
-        bodies = meta = None
-        if any(Path(folder, ".notes").glob("*/written.md")) and any(Path(folder, ".notes").glob("*/meta.json")):
-            bodies, meta = read_sidecars(spark, folder)
-        records = hydrate(replay(log), meta, bodies)
-        empty = spark.createDataFrame([], "note_id string, title string, tags array<string>")
-        write_index(build_index(records, meta if meta is not None else empty), target)
+        bodies, meta = read_sidecars(spark, folder)
+        write_index(build_index(hydrate(replay(log), meta, bodies), meta), target)
         return 0
     query = args.query or getattr(args, "named", None)
     if not query or not query.strip():

@@ -11,7 +11,8 @@ from loomline.functions.text import NOISE_TAGS, SILENCE_PHRASES, STOP_WORDS
 from loomline.operators import chunking, log_store, read_models, transcript
 from loomline.operators.search import SearchOptions, score, search
 from loomline.schemas import REQUIRED
-from loomline.session import table
+from loomline.session import scratch, table
+from loomline.sources.records import read_log
 from loomline.streaming.phrases import Limits, phrases_batch
 
 NOW = "2024-06-12T12:00:00Z"
@@ -101,6 +102,16 @@ def lww_replay(spark, sf):
     return records(spark, sf, "kind", "title").select("id", "seq", "first_seq", "kind", "title", F.coalesce("deleted", F.lit(False)).alias("deleted"))
 
 
+@query(f"WITH {_LIVE} SELECT id, kind, title, word_count, len(segments) AS n_segments FROM alive")
+def log_scan(spark, sf):
+    """The log as text in its order, without numbers and with lines that aren't JSON between; read back and replayed."""
+    log = table(spark, sf, "history_log").filter("seq IS NOT NULL").distinct().orderBy("seq")
+    path = scratch(spark, "log")
+    log.select(F.explode(F.array(F.to_json(F.struct(*[c for c in log.columns if c != "seq"])), F.lit('{"id": "cut'), F.lit(" "))).alias("value")).write.text(path)
+    good, _ = read_log(spark, path)
+    return log_store.live(log_store.replay(good)).select("id", "kind", "title", "word_count", F.size("segments").cast("bigint").alias("n_segments"))
+
+
 @query(f"WITH {_LIVE} SELECT id, kind, created_at, title, duration_ms, word_count FROM alive")
 def live_records(spark, sf):
     return log_store.live(records(spark, sf, "kind", "created_at", "title", "duration_ms", "word_count")).select("id", "kind", "created_at", "title", "duration_ms", "word_count")
@@ -149,7 +160,8 @@ def tag_vocabulary(spark, sf):
 @query(f"""WITH {_LIVE} SELECT CAST(sum(greatest(duration_ms // 1000, 0)) AS BIGINT) AS week_secs FROM (SELECT duration_ms, CAST(created_at AS TIMESTAMPTZ) AS d FROM alive)
     WHERE isoyear(d) = 2024 AND weekofyear(d) = 24 AND year(d) = 2024""")
 def iso_week_total(spark, sf):
-    return read_models.recorded_this_week(read_models.list_summaries(records(spark, sf, *SUMMARY)), NOW)
+    alive = log_store.live(records(spark, sf, "created_at", "duration_ms"))
+    return read_models.recorded_this_week(alive.select("created_at", F.expr("duration_ms div 1000").alias("duration_secs")), NOW)
 
 
 @query(f"WITH {_LIVE} SELECT count(*) AS notes, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in ("scribe", "dictate", "transcribe", "written")) + " FROM alive")

@@ -5,9 +5,11 @@ from __future__ import annotations
 import io
 import json
 import os
+import re
 import wave
 from collections.abc import Iterable, Iterator
 from pathlib import Path
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -19,15 +21,55 @@ from pyspark.sql.types import ArrayType, FloatType, StructType, _parse_datatype_
 from loomline.functions.text import front_matter_field, trim_ws
 from loomline.operators.log_store import usable
 from loomline.schemas import DICTATE, EXTENSIONS, HISTORY_LOG, NOTE_META, SPEAKER_NAMES
+from loomline.session import hadoop_fs
 
 FRONT_MATTER_BYTES = 4096
 
 
+#: Places of lines: files in order of their names, then bytes; a log has fewer files and its files fewer bytes than fit.
+FILE_BITS = 44
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value, place`` of the lines of text files: ``place`` grows with the line's place in its file, and with the file's name.
+
+    A split's lines come to a task in their order, and there are fewer than it has bytes, so the split's first byte plus
+    the number of lines before in it is a place that no shuffle has to find.
+    """
+    lines = spark.read.text(path)
+    ordinals = {unquote(f).split(":", 1)[-1].lstrip("/"): i for i, f in enumerate(sorted(lines.inputFiles(), key=unquote))}
+    rows = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, before = None, 0
+        for batch in batches:
+            files, starts = batch.column(1).dictionary_encode(), batch.column(2).to_numpy(zero_copy_only=False)
+            codes = files.indices.to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((codes[1:] != codes[:-1]) | (starts[1:] != starts[:-1])) + 1
+            places = np.empty(len(starts), np.int64)
+            for a, z in zip([0, *cuts], [*cuts, len(starts)]) if len(starts) else ():
+                own = (files.dictionary[int(codes[a])].as_py(), int(starts[a]))
+                before = before if own == now else 0
+                now = own
+                first = (ordinals[unquote(own[0]).split(":", 1)[-1].lstrip("/")] << FILE_BITS) + own[1]
+                places[a:z] = first + before + np.arange(z - a)
+                before += z - a
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places)], names=["value", "place"])
+
+    return rows.mapInArrow(run, "value string, place long")
+
+
 def read_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Usable versions of a JSON-lines log with ``seq``, and the lines that can't be read. Blank lines are skipped."""
+    """Usable versions of a JSON-lines log with ``seq``, and the lines that can't be read. Blank lines are skipped.
+
+    Lines without a ``seq`` of their own take their place in the log, the order in which they were appended. A missing file
+    holds no lines.
+    """
     schema = StructType(_parse_datatype_string(HISTORY_LOG).fields + _parse_datatype_string("_bad string").fields)
-    lines = spark.read.text(path).filter("trim(value) <> ''")
-    rows = lines.select("value", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"}).alias("r")).select("value", "r.*")
+    fs, place = hadoop_fs(spark, path)
+    lines = numbered_lines(spark, path) if fs.exists(place) else spark.createDataFrame([], "value string, place long")
+    rows = lines.filter("trim(value) <> ''").select("value", "place", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_bad"}).alias("r")).select("value", "place", "r.*")
+    rows = rows.withColumn("seq", F.coalesce("seq", "place")).drop("place")
     good = usable(rows.filter("_bad IS NULL")).drop("_bad", "value").fillna({"deleted": False, "speaker_capture": False, "dual_source": False})
     for name in ("speaker_blocks", "speaker_chunks", "session_speakers", "notes"):
         good = good.withColumn(name, F.coalesce(name, F.array().cast(good.schema[name].dataType)))
@@ -44,9 +86,19 @@ def _note_id(path: str):
 
 
 def read_sidecars(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """``note_id, content`` of ``.notes/<id>/written.md`` and the parsed ``meta.json``; what can't be parsed is absent."""
-    bodies = spark.read.option("wholetext", True).text(f"{folder}/.notes/*/written.md").select(_note_id(r"/\.notes/([^/]+)/written\.md$").alias("note_id"), F.col("value").alias("content"))
-    meta = spark.read.option("wholetext", True).text(f"{folder}/.notes/*/meta.json").select(_note_id(r"/\.notes/([^/]+)/meta\.json$").alias("note_id"), F.from_json("value", NOTE_META.split(", ", 1)[1]).alias("m"))
+    """``note_id, content`` of ``.notes/<id>/written.md`` and the parsed ``meta.json``; what can't be parsed is absent.
+
+    Each kind is read by itself; where there is no such file, its table is empty.
+    """
+
+    def texts(name: str) -> DataFrame:
+        fs, pattern = hadoop_fs(spark, f"{folder}/.notes/*/{name}")
+        if not fs.globStatus(pattern):
+            return spark.createDataFrame([], "note_id string, value string")
+        return spark.read.option("wholetext", True).text(f"{folder}/.notes/*/{name}").select(_note_id(rf"/\.notes/([^/]+)/{re.escape(name)}$").alias("note_id"), "value")
+
+    bodies = texts("written.md").withColumnRenamed("value", "content")
+    meta = texts("meta.json").select("note_id", F.from_json("value", NOTE_META.split(", ", 1)[1]).alias("m"))
     return bodies, meta.filter("m IS NOT NULL").select("note_id", "m.*")
 
 
