@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.operators.sequence import bucketed, with_latest, with_previous
+from loomline.operators.sequence import bucketed, gathered, with_latest, with_previous
 from loomline.session import checkpointed
 
 TURN_GAP_MS = 60_000
@@ -295,6 +295,7 @@ def turns(lines: DataFrame, names: DataFrame) -> DataFrame:
     """
     starts = turn_starts(label_lines(lines, names)).filter(~F.col("repeat")).drop("prev", "repeat")
     opened = with_latest(starts, ["recording_id"], ["start_ms", "pos"], F.when(F.col("opens"), F.struct("start_ms", "pos")), "turn")
-    line = F.struct("start_ms", "pos", "text")
-    grouped = opened.groupBy("recording_id", "turn", "speaker").agg(F.max("end_ms").alias("end_ms"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list(line)).alias("ls"))
-    return grouped.select("recording_id", F.col("turn.start_ms").alias("start_ms"), F.greatest("end_ms", F.col("turn.start_ms")).alias("end_ms"), "speaker", "n_lines", F.array_join(F.col("ls.text"), " ").alias("text"))
+    group, place = ["recording_id", "turn", "speaker"], F.struct("start_ms", "pos")
+    parts = opened.groupBy(*group, "__b").agg(F.max("end_ms").alias("e"), F.count("*").alias("n"), gathered(place, F.col("text"), " ").alias("t"))
+    grouped = parts.groupBy(*group).agg(F.max("e").alias("end_ms"), F.sum("n").alias("n_lines"), gathered(F.col("__b"), F.col("t"), " ").alias("text"))
+    return grouped.select("recording_id", F.col("turn.start_ms").alias("start_ms"), F.greatest("end_ms", F.col("turn.start_ms")).alias("end_ms"), "speaker", "n_lines", "text")
