@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import html
 import re
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from loomline.functions.markdown import markdown_to_html
+
 # Words that are never search terms.
 STOP_WORDS = [
     "about", "after", "again", "also", "and", "are", "because", "been", "but", "can", "could", "did", "does", "for", "from", "had", "has",
@@ -282,69 +282,6 @@ def dedup_consecutive_phrases(texts: pd.Series) -> pd.Series:
     return texts.map(drop_repeated_phrases, na_action="ignore")
 
 
-# Tags that stay in sanitised HTML.
-SAFE_TAGS = ["p", "br", "strong", "em", "ul", "ol", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "code", "pre", "a"]
-_SAFE_LINK = re.compile(r"\s*(?:https?:|mailto:|#|/(?!/))", re.I)
-
-
-class _Sanitiser(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.muted = 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.muted += 1
-        elif tag == "a":
-            href = next((v for k, v in attrs if k == "href" and v and _SAFE_LINK.match(v)), None)
-            self.out.append(f'<a href="{html.escape(href)}" rel="noopener noreferrer">' if href else '<a rel="noopener noreferrer">')
-        elif tag in SAFE_TAGS:
-            self.out.append(f"<{tag}>")
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.muted = max(0, self.muted - 1)
-        elif tag in SAFE_TAGS and tag != "br":
-            self.out.append(f"</{tag}>")
-
-    def handle_data(self, data):
-        if not self.muted:
-            self.out.append(html.escape(data, quote=False))
-
-
-_INLINE = [(re.compile(r"\*\*(.+?)\*\*", re.S), r"<strong>\1</strong>"), (re.compile(r"(?<!\*)\*([^*\n]+)\*"), r"<em>\1</em>"), (re.compile(r"`([^`\n]+)`"), r"<code>\1</code>"), (re.compile(r"\[([^\]]+)\]\(([^)\s]+)\)"), r'<a href="\2">\1</a>')]
-
-
-def markdown_to_html(text: str) -> str:
-    """E31 on one text: headings, lists, quotes, paragraphs and inline marks; then only safe tags and links stay."""
-    blocks = []
-    for block in re.split(r"\n[ \t]*\n", text.replace("\r\n", "\n")):
-        block = block.strip("\n")
-        if not block.strip():
-            continue
-        if m := re.match(r"(#{1,6})\s+(.*)", block):
-            n = len(m.group(1))
-            blocks.append(f"<h{n}>{m.group(2).split(chr(10))[0].strip()}</h{n}>")
-            block = "\n".join(block.split("\n")[1:])
-            if not block.strip():
-                continue
-        lines = block.split("\n")
-        if all(re.match(r"\s*[-*+]\s+", x) for x in lines):
-            blocks.append("<ul>" + "".join(f"<li>{re.sub(r'^\s*[-*+]\s+', '', x)}</li>" for x in lines) + "</ul>")
-        elif all(x.startswith(">") for x in lines):
-            blocks.append("<blockquote><p>" + "\n".join(x.lstrip("> ") for x in lines) + "</p></blockquote>")
-        else:
-            blocks.append("<p>" + "\n".join(lines) + "</p>")
-    body = "\n".join(blocks)
-    for rx, to in _INLINE:
-        body = rx.sub(to, body)
-    s = _Sanitiser()
-    s.feed(body)
-    s.close()
-    return "".join(s.out)
-
-
 @F.pandas_udf(StringType())
 def html_safe(texts: pd.Series) -> pd.Series:
     """Markdown as HTML of safe tags only; null stays null."""

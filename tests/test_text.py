@@ -26,7 +26,7 @@ def values(spark, rows, expr, ddl="x string"):
         (text.transcript_section, {"# T\n\n## Transcript\n\nhi\n\n## Notes\nx": "hi", " only ": "only"}),
         (lambda c: text.front_matter_field(c, "title"), {"---\ntitle: 'a b'\nmodel: x\n---\nbody": "a b", "title: no": None, "---\ntitle:\n---\n": None}),
         (text.is_silence_phrase, {"Thank you.": True, " [ Music ] ": True, "Transcribed by x": True, "thank you. all": False, "": True}),
-        (text.html_safe, {"**a** <script>x</script>[l](javascript:y)": '<p><strong>a</strong> <a rel="noopener noreferrer">l</a></p>', "# T\n\n- a\n- b": "<h1>T</h1>\n<ul><li>a</li><li>b</li></ul>", None: None}),
+        (text.html_safe, {"**a** <script>x</script>[l](javascript:y)": '<p><strong>a</strong> <a rel="noopener noreferrer">l</a></p>\n', "# T\n\n- a\n- b": "<h1>T</h1>\n<ul>\n<li>a</li>\n<li>b</li>\n</ul>\n", None: None}),
     ],
 )
 def test_text(spark, f, cases):
