@@ -239,6 +239,11 @@ def transcript_section(c: Column) -> Column:
     return F.when(c.rlike(r"(?m)^## Transcript[^\S\n]*$"), trim_ws(part)).otherwise(trim_ws(c))
 
 
+def days(c: Column) -> Column:
+    """E36 as a column: null for what isn't a number of days."""
+    return F.regexp_extract(trim_ws(c), r"^(\d+)d?$", 1).try_cast("int")
+
+
 def parse_days(text: str) -> int:
     """``90d`` as 90."""
     return int(text.strip().removesuffix("d"))

@@ -45,12 +45,17 @@ def score(index: DataFrame, terms: list[str], vector: list[float], now: str) ->
     return out.withColumn("total", F.round(total, 6))
 
 
+def since(index: DataFrame, days: int, now: str) -> DataFrame:
+    """Chunks of the last ``days`` days; those without a date are out."""
+    return index.filter(instant(F.col("created_at")) >= F.to_timestamp(F.lit(now)) - F.make_dt_interval(F.lit(max(days, 0))))
+
+
 def search(index: DataFrame, options: SearchOptions, now: str, vector: list[float] | None = None, embed=None) -> DataFrame:
     """The best chunks, each with its parts of the score and a snippet."""
     terms, own = analyse(index.sparkSession, options.query, embed)
     rows = index
     if options.since_days is not None:
-        rows = rows.filter(instant(F.col("created_at")) >= F.to_timestamp(F.lit(now)) - F.make_dt_interval(F.lit(max(options.since_days, 0))))
+        rows = since(rows, options.since_days, now)
     if options.tag:
         rows = with_tag(rows, options.tag)
     ranked = score(rows, terms, vector or own, now).filter("total > 0").orderBy(F.desc("total"), F.desc("created_at"), "id").limit(max(options.limit, 1))

@@ -183,7 +183,7 @@ def render_speaker_bodies(blocks: DataFrame, mic: str = "In", other: str = "Out"
 def markdown_document(title: Column, duration_ms: Column, words: Column, model: Column, body: Column, notes: Column | None = None) -> Column:
     """Front matter, transcript and notes."""
     head = F.concat(
-        F.lit("---\ntitle: '"), F.replace(title, F.lit("'"), F.lit("''")), F.lit("'\nduration_seconds: "), F.format_string("%.1f", F.greatest(duration_ms, F.lit(0)) / 1000.0),
+        F.lit("---\ntitle: '"), F.replace(title, F.lit("'"), F.lit("''")), F.lit("'\nduration_seconds: "), F.call_function("format_number", F.greatest(duration_ms, F.lit(0)) / 1000.0, F.lit("0.0")),
         F.lit("\nword_count: "), words.cast("string"), F.lit("\ntoken_estimate: "), F.round(words * 1.3).cast("bigint").cast("string"),
         F.lit("\nmodel: "), model, F.lit("\n---\n\n## Transcript\n\n"), body,
     )

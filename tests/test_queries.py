@@ -8,10 +8,10 @@ import sys
 import pytest
 from helpers import same_as_sql
 
-from loomline.plans import core_queries, reference_queries
+from loomline.plans import core_queries, list_queries, reference_queries
 
-QUERIES = core_queries.QUERIES | reference_queries.QUERIES
-SQL = core_queries.SQL | reference_queries.SQL
+QUERIES = core_queries.QUERIES | reference_queries.QUERIES | list_queries.QUERIES
+SQL = core_queries.SQL | reference_queries.SQL | list_queries.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
