@@ -7,8 +7,8 @@ where they overlap. Numbers and addresses read aloud are spelt out digit by digi
 
 Two neighbouring words are a name if the corpus knows both as parts of names; after a title one word is enough. Parts of
 names are those of the table of known persons, and parts of e-mail addresses with a second witness: texts mostly write
-them with a capital letter away from sentence starts, or they share an address with a part that has such a witness.
-``support@`` teaches nothing where texts write "our support".
+them with a capital letter away from sentence starts, or, where none uses them alone in lower case, they stand beside a
+part that has such a witness, in an address or a text. ``support@`` teaches nothing where texts write "our support".
 
 Scale: three maps over the texts, the first over those with addresses only; between them, parts and their counts are
 aggregated. Known parts are shipped as a filter sized by their number, at ``BITS_PER_PART`` bits each, which takes a word for a part
@@ -256,28 +256,42 @@ def _parts(local: str) -> Iterator[tuple[str, str | None]]:
         yield fold(local), None  # parts written with a hyphen in texts
 
 
-_USED = rf"{_L}+(?:['’-](?!s\b){_L}+)*"
-_INSIDE = re.compile(rf"(?<=[\w,;)] )(?=[A-ZÀ-ÖØ-Þ]){_USED}")
-_LOW = re.compile(rf"(?<!\S)(?=[a-zß-öø-ÿ]){_USED}(?=[\s,;:!?'’]|[.](?:\s|\Z)|\Z)")
+_USED = re.compile(rf"{_L}+(?:['’-](?!s\b){_L}+)*")
 
 
-def uses(text: str, parts: Names) -> Iterator[tuple[str, bool]]:
-    """Words of a text that ``parts`` knows, if it has capitals: folded, and whether with a capital away from a sentence's start.
+def uses(text: str, parts: Names) -> Iterator[tuple[str, str | None, bool]]:
+    """What a text with capitals tells of words that ``parts`` knows: (word, None, True) for one with a capital away from a
+    sentence's start, (word, None, False) for one in lower case without a known neighbour, (word, neighbour, True) for two side by side.
 
     Addresses are no witnesses for their own parts.
     """
+    if not any(map(parts.knows, set(_USED.findall(text)))):
+        return
     low = text.lower()
     if text == low or text == text.upper():
         return
     if " dot " in low or "dot]" in low:
         for rx in (_EMAIL_MASKED, _EMAIL_SPOKEN):
             text = rx.sub(" ", text)
-    for w in _INSIDE.findall(text):
-        if parts.knows(w):
-            yield fold(w), True
-    for w in _LOW.findall(text):
-        if parts.knows(w):
-            yield fold(w), False
+    known: list[tuple[str, bool, bool, int, int]] = []
+    for m in _USED.finditer(text):
+        if not parts.knows(m.group()):
+            continue
+        a, z = m.span()
+        after = text[z : z + 2]
+        if (a and not text[a - 1].isspace()) or not (not after or after[0].isspace() or after[0] in ",;:!?'’" or (after[0] == "." and not after[1:].strip())):
+            continue
+        inside = a > 1 and text[a - 1] == " " and (text[a - 2].isalnum() or text[a - 2] in "_,;)")
+        known.append((fold(m.group()), m.group()[0].isupper(), inside, a, z))
+    beside = [k > 0 and text[known[k - 1][4] : known[k][3]] in (" ", ", ") for k in range(len(known))] + [False]
+    for k, (word, high, inside, _, _) in enumerate(known):
+        if high and inside:
+            yield word, None, True
+        elif not high and not beside[k] and not beside[k + 1]:
+            yield word, None, False
+        if beside[k]:
+            yield word, known[k - 1][0], True
+            yield known[k - 1][0], word, True
 
 
 def find(text: str, names: Names) -> list[Span]:
@@ -415,8 +429,8 @@ def learn_names(texts: DataFrame, text: str, known: DataFrame | None = None, col
         names, seen = Names(shipped.value), Counter()
 
         def counted() -> pa.RecordBatch:
-            part, high = zip(*seen) if seen else ((), ())
-            out = pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(high, pa.bool_()), pa.array(seen.values(), pa.int64())], names=["part", "high", "n"])
+            part, mate, high = zip(*seen) if seen else ((), (), ())
+            out = pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(mate, pa.string()), pa.array(high, pa.bool_()), pa.array(seen.values(), pa.int64())], names=["part", "mate", "high", "n"])
             seen.clear()
             return out
 
@@ -427,9 +441,10 @@ def learn_names(texts: DataFrame, text: str, known: DataFrame | None = None, col
                 yield counted()
         yield counted()
 
+    used = checkpointed(rows.mapInArrow(count, "part string, mate string, high boolean, n long").groupBy("part", "mate", "high").agg(F.sum("n").alias("n")), "uses")
     n = lambda high: F.coalesce(F.sum(F.when(F.col("high") == high, F.col("n"))), F.lit(0))
-    used = rows.mapInArrow(count, "part string, high boolean, n long").groupBy("part").agg(n(True).alias("high"), n(False).alias("low"))
-    judged = checkpointed(parts.join(used, "part", "left").select("part", (F.col("high") > 0).alias("seen"), (F.col("high") >= CAPITAL_SHARE * (F.col("high") + F.col("low"))).alias("mostly")), "uses")
+    alone = used.filter("mate IS NULL").groupBy("part").agg(n(True).alias("high"), n(False).alias("low"))
+    judged = parts.join(alone, "part", "left").select("part", (F.col("high") > 0).alias("seen"), (F.col("high") >= CAPITAL_SHARE * (F.col("high") + F.col("low"))).alias("mostly"))
     sure = judged.filter("seen AND mostly").select("part")
     if known is not None:
         table = known.select(F.explode(F.split(F.col(column), r"[^\p{L}'’-]+")).alias("w"))
@@ -439,8 +454,9 @@ def learn_names(texts: DataFrame, text: str, known: DataFrame | None = None, col
                 yield pa.RecordBatch.from_arrays([pa.array([f for w in batch.column(0).to_pylist() if len(f := fold(w or "")) > 2], pa.string())], names=["part"])
 
         sure = sure.unionByName(table.mapInArrow(folded, "part string")).distinct()
-    # Parts that no text uses but that share an address with a sure one; parts used in lower case stay out.
-    shared = addressed.join(sure.withColumnRenamed("part", "mate"), "mate", "left_semi").join(judged.filter("seen IS NULL"), "part", "left_semi").select("part")
+    # Parts that no text uses alone, beside a sure one; parts used in lower case stay out.
+    pairs = addressed.filter("mate IS NOT NULL").unionByName(used.filter("mate IS NOT NULL").select("part", "mate"))
+    shared = pairs.join(sure.withColumnRenamed("part", "mate"), "mate", "left_semi").join(judged.filter("seen IS NULL"), "part", "left_semi").select("part")
     return filter_of(checkpointed(sure.unionByName(shared).distinct(), "names"))
 
 

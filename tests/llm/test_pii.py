@@ -71,7 +71,7 @@ def test_role_accounts_teach_no_names(spark):
     said = ["Ask our support team about it.", "The data science meeting is at noon.", "Then Jane Roe called, and Mick came.", "They said jane roe called.", "We asked mick hollis again."]
     df = spark.createDataFrame([(f"Write to {x} today", "") for x in role] + [(x, "") for x in said], "x string, part string")
     got = {r.x: r.redacted for r in pii.scan(df, "x", pii.learn_names(df, "x")).collect()}
-    assert [got[x] for x in said] == ["Ask our support team about it.", "The data science meeting is at noon.", "Then [NAME] called, and Mick came.", "They said [NAME] called.", "We asked mick hollis again."]
+    assert [got[x] for x in said] == ["Ask our support team about it.", "The data science meeting is at noon.", "Then [NAME] called, and Mick came.", "They said [NAME] called.", "We asked [NAME] again."]
     low = spark.createDataFrame([("our support team has the data science meeting", ""), *[(f"Write to {x} today", "") for x in role[:3]]], "x string, part string")
     assert pii.scan(low, "x", pii.learn_names(low, "x")).filter("x LIKE 'our%'").first().redacted == "our support team has the data science meeting"
 
