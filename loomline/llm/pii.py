@@ -118,10 +118,12 @@ _EMPHASIS = re.compile(r"(?<![^\W_])_|_(?![^\W_])")
 # What a text must hold for a pattern to match at all; looking for it is cheaper than the pattern.
 _NUMBER = re.compile(r"\d")
 _ID_HINTS = ("passport", "reisepass", "pasaporte", "licen", "driv", "führerschein", "carn", "permiso", "tax", "steuer", "nif", "dni", "social", "sozial", "insurance", "seguridad", "ssn", "nino", "itin")
-_STREET_HINTS = (*STRONG_STREETS.split("|"), "close", "court", "drive", "way", "place", "square", "row", "hill", "gardens", "ave", " st", " rd", " ln", "blvd", " ct", " dr", " pl", " sq")
+_SIMPLE_WORD = re.compile(rf"{_L}+")
+_STREET_WORDS = {w.casefold() for w in (STRONG_STREETS + "|" + WEAK_STREETS).split("|")}
+_TITLE_WORDS = {w.casefold() for w in TITLES.split("|")}
 _GERMAN_HINTS = ("straße", "strasse", "str.", "weg", "gasse", "allee", "platz", "ufer", "damm")
 _SPANISH_HINTS = ("calle", "c/", "avenida", "avda", "plaza", "paseo", "camino")
-_DIGIT_HINTS = tuple(w for w in DIGITS if len(w) > 1)
+_DIGIT_WORDS = {w.casefold() for w in DIGITS if len(w) > 1}
 #: Words of the shortest spoken number, seven digits with doubles.
 _LEAST_SPOKEN = 4
 
@@ -302,6 +304,9 @@ def find(text: str, names: Names) -> list[Span]:
     add = lambda m, kind, score, group=0: found.append(Span(m.start(group), m.end(group), kind, score))
     low = text.casefold()
     digits = _NUMBER.search(text) is not None
+    plain = _SIMPLE_WORD.findall(low)
+    words = set(plain)
+    spoken = 0 if words.isdisjoint(_DIGIT_WORDS) else sum(w in _DIGIT_WORDS for w in plain)
     if "@" in text:
         for m in _EMAIL.finditer(text):
             add(m, "email", 1.0)
@@ -312,13 +317,12 @@ def find(text: str, names: Names) -> list[Span]:
         for m in _CARD.finditer(text):
             if luhn(re.sub(r"\D", "", m.group())) and not near(text, *m.span(), "id_number") > 0:
                 add(m, "card", 0.95)
-    if "at" in low and "dot" in low:
+    if "at" in words and "dot" in words:
         for m in _EMAIL_MASKED.finditer(text):
             add(m, "email", 0.95)
         for m in _EMAIL_SPOKEN.finditer(text):
             add(m, "email", 0.9)
-    spoken = sum(map(low.count, _DIGIT_HINTS))
-    ids = any(h in low for h in _ID_HINTS)
+    ids = (digits or spoken >= 2) and any(h in low for h in _ID_HINTS)
     if digits:
         if ids:
             for m in _ID_NAMED.finditer(text):
@@ -347,12 +351,12 @@ def find(text: str, names: Names) -> list[Span]:
     for m in _ID_SPOKEN.finditer(text) if ids and spoken >= 2 else ():
         if len(spoken_digits(m["id"])) >= 5:
             add(m, "id_number", 0.9, "id")
-    for m in _ADDRESS.finditer(text) if any(h in low for h in _STREET_HINTS) else ():
+    for m in _ADDRESS.finditer(text) if not words.isdisjoint(_STREET_WORDS) else ():
         strong = re.fullmatch(STRONG_STREETS, m["kind"], re.I) is not None
         cased = m["street"][0].isupper() and m["kind"][0].isupper()
         add(m, "address", (0.7 if cased else 0.55 if strong else 0.35) + near(text, *m.span(), "address"))
     taken = [x for x in found if x.score >= THRESHOLD]
-    taken += people(text, names, taken)
+    taken += people(text, names, taken, not words.isdisjoint(_TITLE_WORDS))
     out: list[Span] = []
     for x in sorted(taken, key=lambda x: (-x.score, x.start - x.end, x.start)):
         if all(x.end <= y.start or x.start >= y.end for y in out):
@@ -363,23 +367,24 @@ def find(text: str, names: Names) -> list[Span]:
 _NOT_NAMES = re.compile(rf"(?:{SMALL}|{STRONG_STREETS}|{WEAK_STREETS}|{TITLES}|bridge|choir|valley|project|stories|blend|prize|award|foundation|trust|university|school|hospital|church|park|station|hotel|museum|river|lake)\Z", re.I)
 
 
-def people(text: str, names: Names, taken: list[Span]) -> Iterator[Span]:
-    """Names of persons outside the spans already taken."""
+def people(text: str, names: Names, taken: list[Span], titled: bool = True) -> Iterator[Span]:
+    """Names of persons outside the spans already taken. ``titled``: whether the text has a title."""
     free = lambda s, e: all(e <= x.start or s >= x.end for x in taken)
     spelt_low = text == text.lower()
-    for m in _TITLED.finditer(text):
+    for m in _TITLED.finditer(text) if titled else ():
         if not free(*m.span()):
             continue
         words = list(_TOKEN.finditer(text, m.start("words"), m.end("words")))
         first = words[0].group()
-        titled = m["title"][0].isupper()
-        named = names.knows(first) or (titled and first[0].isupper()) or (spelt_low and m["title"].lower() in PLAIN_TITLES and len(first) > 2)
+        named = names.knows(first) or (m["title"][0].isupper() and first[0].isupper()) or (spelt_low and m["title"].lower() in PLAIN_TITLES and len(first) > 2)
         if not named or _NOT_NAMES.match(first):
             continue
         end = words[0].end()
         if len(words) > 1 and names.knows(words[1].group()):
             end = words[1].end()
         yield Span(m.start(), end, "name", 0.9)
+    if sum(map(names.knows, _USED.findall(text))) < 2:
+        return
     words = list(_TOKEN.finditer(text))
     i = 0
     while i < len(words) - 1:
@@ -465,27 +470,33 @@ def filter_of(parts: DataFrame) -> Parts:
     return Parts((r.part for r in parts.toLocalIterator()), parts.count())
 
 
-def scan(texts: DataFrame, text: str, parts: Parts) -> DataFrame:
+def scan(texts: DataFrame, text: str, parts: Parts, only_found: bool = False) -> DataFrame:
     """``texts`` with ``spans``, an array of (kind, start, end, score), and ``redacted``, the text with placeholders.
 
-    Defined cases: null text has null spans and redaction; empty text has none; long texts are searched whole; other
-    columns are kept, whatever their names; repeats stay.
+    ``only_found``: just the rows with spans, without the text and its redaction. Defined cases: null text has null spans
+    and redaction; empty text has none; long texts are searched whole; other columns are kept, whatever their names;
+    repeats stay.
     """
     shipped = texts.sparkSession.sparkContext.broadcast(parts)
     at = texts.columns.index(text)
+    kept = [i for i in range(len(texts.columns)) if not (only_found and i == at)]
     spans = "array<struct<kind:string,start:int,end:int,score:double>>"
-    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(texts.schema)) + f", spans {spans}, redacted string"
+    schema = ", ".join(f"c{i} {texts.schema[i].dataType.simpleString()}" for i in kept) + f", spans {spans}" + (", redacted string" if not only_found else "")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+    row = lambda s: {"kind": s.kind, "start": s.start, "end": s.end, "score": s.score}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names(shipped.value)
         for batch in batches:
-            found, clean = [], []
-            for x in batch.column(at).to_pylist():
-                own = find(x, names) if x else []
-                found.append(None if x is None else [{"kind": s.kind, "start": s.start, "end": s.end, "score": s.score} for s in own])
-                clean.append(None if x is None else redact(x, own))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind), pa.array(clean, pa.string())], names=[*(f"c{i}" for i in range(batch.num_columns)), "spans", "redacted"])
+            own = [find(x, names) if x else [] for x in batch.column(at).to_pylist()]
+            if only_found:
+                some = [i for i, s in enumerate(own) if s]
+                part = batch.take(pa.array(some, pa.int32()))
+                columns = [pa.array([list(map(row, own[i])) for i in some], kind)]
+            else:
+                part, given = batch, batch.column(at).to_pylist()
+                columns = [pa.array([None if x is None else list(map(row, s)) for x, s in zip(given, own)], kind), pa.array([None if x is None else redact(x, s) for x, s in zip(given, own)], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), *columns], names=[*(f"c{i}" for i in kept), "spans", "redacted"][: len(kept) + len(columns)])
 
     renamed = texts.toDF(*[f"c{i}" for i in range(len(texts.columns))])
-    return renamed.mapInArrow(run, schema).toDF(*texts.columns, "spans", "redacted")
+    return renamed.mapInArrow(run, schema).toDF(*(texts.columns[i] for i in kept), *["spans", "redacted"][: 1 + (not only_found)])

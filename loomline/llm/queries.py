@@ -40,8 +40,8 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _texts(spark, sf_dir)
-    found = scan(texts, "text", learn_names(texts, "text", table(spark, sf_dir, "speaker_names")))
-    each = found.filter(F.size("spans") > 0).select("layer", "record_id", "line_no", F.explode(F.transform(F.col("spans"), lambda s, i: F.struct(s["kind"].alias("pii_type"), F.size(F.filter(F.slice("spans", 1, i + 1), lambda t: t["kind"] == s["kind"])).cast("bigint").alias("nth")))).alias("x"))
+    found = scan(texts, "text", learn_names(texts, "text", table(spark, sf_dir, "speaker_names")), only_found=True)
+    each = found.select("layer", "record_id", "line_no", F.explode(F.transform(F.col("spans"), lambda s, i: F.struct(s["kind"].alias("pii_type"), F.size(F.filter(F.slice("spans", 1, i + 1), lambda t: t["kind"] == s["kind"])).cast("bigint").alias("nth")))).alias("x"))
     return each.select("layer", "record_id", "line_no", "x.pii_type", "x.nth").distinct()
 
 

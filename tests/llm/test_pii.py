@@ -82,3 +82,5 @@ def test_readable_result(spark):
     got = {r.spans_: r for r in pii.scan(df, "x", bits).collect()}
     assert got["1"].redacted == "Ask [NAME], [EMAIL] or [PHONE]." and got["2"].redacted is None and got["3"].spans == []
     assert pii.scan(df.limit(0), "x", bits).count() == 0
+    found = pii.scan(df, "x", bits, only_found=True)
+    assert found.columns == ["spans_", "c0", "spans"] and [(r.spans_, [x.kind for x in r.spans]) for r in found.collect()] == [("1", ["name", "email", "phone"])]
