@@ -49,8 +49,8 @@ UNMARKED_WORDS = 13
 CONTEXT, MIN_MASS = 0.8, 0.04
 #: The table of subjects is held by the driver and every worker; more are refused.
 MAX_SUBJECTS = 2_000
-#: Documents handled at once.
-BATCH = 256
+#: Documents handled at once, by their sentences and by their counts.
+BATCH, COUNTS_BATCH = 256, 1024
 
 _MARKS = re.compile(r"^[ \t]*(?:[>*#+-]+[ \t]+)*(?:\[[ xX]\][ \t]*)?(?:\[[\d:.,]+\][ \t]*|\(\d+:\d\d\)[ \t]*|\d+:\d\d:\d\d\S*[ \t]*(?:-->|-)?[ \t]*)?(?:\*\*[^*\n]{1,40}\*\*[ \t]*·[ \t]*[\d:]+[^\n]*|(?:>>[ \t]*)?(?:speaker|spk)[ _#]?\w+[:\])-][ \t]*|[A-Z]\d?:[ \t])?", re.I | re.M)
 _HEADING = re.compile(r"^[ \t]*(?:#{1,6}[ \t]+|\*\*)[^.?!\n]{0,80}$", re.M)
@@ -86,18 +86,26 @@ def sentences(text: str) -> list[list[str]]:
 _hashed: dict[str, int] = {}
 
 
-def bucket(term: str) -> int:
-    h = _hashed.get(term)
+def word_hash(word: str) -> int:
+    h = _hashed.get(word)
     if h is None:
-        h = zlib.crc32(term.encode()) % WIDE
+        h = zlib.crc32(word.encode())
         if len(_hashed) < 200_000:
-            _hashed[term] = h
+            _hashed[word] = h
     return h
 
 
-def terms(words: list[str]) -> list[int]:
-    """Buckets of the words and of neighbouring pairs."""
-    return [bucket(w) for w in words] + [bucket(a + " " + b) for a, b in zip(words, words[1:])]
+def terms(hashes: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and of neighbouring pairs in a sentence, and the sentence of each, in order of sentences."""
+    inside = sentence[1:] == sentence[:-1]
+    pairs = (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)
+    every, where = np.concatenate([hashes, pairs[inside]]), np.concatenate([sentence, sentence[1:][inside]])
+    order = np.argsort(where, kind="stable")
+    return (every[order] % np.uint64(WIDE)).astype(np.int32), where[order]
+
+
+#: Damped counts; from the last one on they are alike.
+_DAMPED = (1 + np.log(np.maximum(np.arange(4096), 1))).astype(np.float32)
 
 
 @dataclass
@@ -133,7 +141,7 @@ class Rows:
         at, index = self.row_of(), columns[self.index]
         known = index >= 0
         at, index = at[known], index[known]
-        v = ((1 + np.log(self.value[known])) * weight[index]).astype(np.float32)
+        v = _DAMPED[np.minimum(self.value[known], len(_DAMPED) - 1)] * weight[index]
         norm = np.sqrt(np.bincount(at, v * v, len(self.ends)))
         return Rows(index, v / np.maximum(norm, 1e-12)[at].astype(np.float32), np.cumsum(np.bincount(at, minlength=len(self.ends))))
 
@@ -202,30 +210,34 @@ def flatten(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return flat, np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(batch.num_rows), per_doc), batch.num_rows
 
 
-def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def parts(batches: Iterable[pa.RecordBatch], size: int = BATCH) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(0, batch.num_rows, BATCH):
-            yield batch.slice(i, BATCH)
+        for i in range(0, batch.num_rows, size):
+            yield batch.slice(i, size)
 
 
 def store_matrix(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Terms of every document, written to the shared folder: ``k, terms, sizes`` (terms a sentence), ``own, times`` (the document's different terms and their counts)."""
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("x"))
     kind = rows.schema["k"].dataType.simpleString()
-    ints = pa.list_(pa.int32())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            flat, sizes = [], []
+            hashes, sizes, per_doc = [], [], []
             for x in batch.column(1).to_pylist():
-                ts = [terms(s) for s in sentences(x)] if x else []
-                flat.append([t for s in ts for t in s])
-                sizes.append([len(s) for s in ts])
-            lengths = [len(f) for f in flat]
-            counts = Rows.count(np.array([t for f in flat for t in f], np.int64), np.repeat(np.arange(len(flat)), lengths), len(flat))
+                ss = sentences(x) if x else []
+                for s in ss:
+                    hashes += map(word_hash, s)
+                    sizes.append(len(s))
+                per_doc.append(len(ss))
+            flat, sentence = terms(np.array(hashes, np.uint64), np.repeat(np.arange(len(sizes)), sizes))
+            document = np.repeat(np.arange(len(per_doc)), per_doc)[sentence]
+            lists = lambda values, lengths: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(values, pa.int32()))
+            told = lists(flat, np.bincount(document, minlength=len(per_doc))), lists(np.bincount(sentence, minlength=len(sizes)), per_doc)
+            counts = Rows.count(flat, document, len(per_doc))
             ends = pa.array(np.append(0, counts.ends), pa.int32())
             own, times = (pa.ListArray.from_arrays(ends, pa.array(v, pa.int32())) for v in (counts.index, counts.value))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat, ints), pa.array(sizes, ints), own, times], names=["k", "terms", "sizes", "own", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *told, own, times], names=["k", "terms", "sizes", "own", "times"])
 
     path = scratch(docs.sparkSession, "matrix")
     rows.mapInArrow(run, f"k {kind}, terms array<int>, sizes array<int>, own array<int>, times array<int>").write.parquet(path)
@@ -245,7 +257,7 @@ def summed(rows: DataFrame, height: int, width: int, product) -> np.ndarray:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for batch in parts(batches):
+        for batch in parts(batches, COUNTS_BATCH):
             p = product(batch)
             total = p if total is None else np.add(total, p, out=total)
         if total is not None:
@@ -290,7 +302,7 @@ def fit(matrix: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "d
     columns, df, n = vocabulary(counts, width)
     size = len(df)
     weight = np.log((n + 1) / (df + 1)) / np.maximum(df, 1) ** DAMPING
-    shipped = spark.sparkContext.broadcast((columns, weight))
+    shipped = spark.sparkContext.broadcast((columns, weight.astype(np.float32)))
     rows_of = lambda batch: counts_of(batch).scaled(*shipped.value)
 
     mean = summed(counts, size, 1, lambda b: rows_of(b).product(np.ones((b.num_rows, 1), np.float32), size))[:, 0] / max(n, 1)
@@ -313,7 +325,8 @@ def fit(matrix: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "d
     floor = 1 / k + MARGIN * (1 - 1 / k)
     seed = np.maximum(share - floor, 0) * mean[:, None]
     for j, name in enumerate(names):
-        for t in columns[terms(_WORD.findall(normal(f"{name} {described[name]}").casefold()))]:
+        words = _WORD.findall(normal(f"{name} {described[name]}").casefold())
+        for t in columns[terms(np.array(list(map(word_hash, words)), np.uint64), np.zeros(len(words), int))[0]]:
             if t >= 0:
                 seed[t, j] += DESCRIBED * mean[t]
     seed = unit(seed)
@@ -338,7 +351,7 @@ def fit(matrix: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "d
         moved.append(float(np.linalg.norm(new[:, :k] - ht[:, :k]) / max(np.linalg.norm(ht[:, :k]), 1e-12)))
         ht = new
         now.unpersist()
-    return Model(names, columns, weight, ht.astype(np.float32), moved)
+    return Model(names, columns, weight.astype(np.float32), ht.astype(np.float32), moved)
 
 
 def assign(matrix: DataFrame, model: Model, key: str = "doc_id", least: float = QUARTER) -> DataFrame:
