@@ -6,7 +6,8 @@ label islands cumulatively, aggregate periods, derive gaps.
 Scale: one entity may hold a third of all rows, so no window spans an entity's rows. Rows are split by
 (entity, time bucket); local islands come from a window inside the bucket. What a bucket needs from
 those before it, the maximum end and the number of islands, comes from a summary of one row a bucket.
-All rows are shuffled once, on (entity, bucket); later steps reuse that exchange.
+Rows are shuffled once, on (entity, bucket); the two summaries derive the local islands from that exchange again, which is
+cheaper than shuffling or storing them. What is shuffled later are islands and summaries.
 """
 
 from __future__ import annotations

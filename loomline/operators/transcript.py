@@ -193,6 +193,11 @@ def markdown_document(title: Column, duration_ms: Column, words: Column, model:
     return F.concat(head, F.when(F.size(notes) > 0, F.concat(F.lit("\n\n## Notes\n"), F.array_join(lines, ""))).otherwise(""), F.lit("\n"))
 
 
+def speaker_document(title: Column, model: Column, body: Column) -> Column:
+    """Front matter without a duration, and a body of speaker blocks."""
+    return F.concat(F.lit("---\ntitle: '"), F.replace(title, F.lit("'"), F.lit("''")), F.lit("'\nword_count: "), word_count(body).cast("string"), F.lit("\nmodel: "), model, F.lit("\n---\n\n## Transcript\n\n"), body, F.lit("\n"))
+
+
 def diarization_yield(ranges: DataFrame, blocks: DataFrame) -> DataFrame:
     """Speakers heard and speakers shown, by recording."""
     heard = ranges.groupBy("recording_id").agg(F.count_distinct("label").alias("raw_speakers"))

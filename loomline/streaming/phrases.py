@@ -81,10 +81,11 @@ class Cutter:
 
 
 def phrases_stream(packets: DataFrame, score: Scorer = loudness, limits: Limits = Limits()) -> DataFrame:
-    """``packets`` (``session_id, packet_no, samples, is_end``) as a stream of phrases.
+    """``packets`` (``session_id, packet_no, samples, is_end``, and ``is_cancel`` if sessions can be cancelled) as a stream of phrases.
 
     Packets of a session come in order from batch to batch; a missing or repeated number, or too long a stretch without a
-    pause, poisons the session: it gives one row with ``error``, and the batch replay has to take over.
+    pause, poisons the session: it gives one row with ``error``, and the batch replay has to take over. A cancelled
+    session gives one row with the error ``cancelled``; what it has said in that batch and what was still open is dropped.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -94,10 +95,13 @@ def phrases_stream(packets: DataFrame, score: Scorer = loudness, limits: Limits
             c.tail, c.context = np.array(tail, np.float32), np.array(context, np.float32)
         rows: list[tuple] = []
         own = pd.concat(list(frames)).sort_values("packet_no")
-        for n, samples, end in zip(own["packet_no"], own["samples"], own["is_end"]):
+        stops = own["is_cancel"].fillna(False) if "is_cancel" in own else [False] * len(own)
+        for n, samples, end, stop in zip(own["packet_no"], own["samples"], own["is_end"], stops):
             if failed:
                 break
             try:
+                if stop:
+                    raise OverflowError("cancelled")
                 if n != expected:
                     raise OverflowError("a packet is missing or comes twice")
                 expected += 1

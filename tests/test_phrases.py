@@ -71,6 +71,18 @@ def test_lost_packet_poisons(spark):
     assert len(got) == 1 and got[0].error and got[0].start_sample is None
 
 
+def test_cancelled_sessions_give_nothing_else(spark):
+    limits = Limits(step=512, least=2048, quiet=2)
+    path, out, state = (scratch(spark, x) for x in ("packets", "phrases", "state"))
+    schema = "session_id string, packet_no bigint, samples array<float>, is_end boolean, is_cancel boolean"
+    loud, quiet = [0.5] * 2048, [0.0] * 2048
+    rows = [("a", 0, loud, False, None), ("a", 1, quiet, False, None), ("a", 2, loud, False, True), ("a", 3, loud, True, None), ("b", 0, loud, True, None)]
+    spark.createDataFrame(rows, schema).write.parquet(path)
+    stream = phrases_stream(spark.readStream.schema(schema).parquet(path), limits=limits)
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == [("a", None, None, "cancelled"), ("b", 0, 2048, None)]
+
+
 def test_retiming_and_debounce(spark):
     df = spark.createDataFrame([(1000, 500, -5, 900), (1000, 500, 400, 300)], "offset_ms bigint, phrase_ms bigint, start_ms bigint, end_ms bigint")
     assert [(r.start_ms, r.end_ms) for r in retimed(df).collect()] == [(1000, 1500), (1400, 1400)]
