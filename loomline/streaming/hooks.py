@@ -13,6 +13,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -100,7 +101,7 @@ def diarize_stream(packets: DataFrame, make: Callable[[], StreamingDiarizer]) ->
             if ranges:
                 yield pd.DataFrame([(key[0], *r) for r in ranges], columns=["session_id", "speaker_id", "start_ms", "end_ms"])
         else:
-            state.update((pickle.dumps(held), pickle.dumps(ranges), failed))
+            state.update((cloudpickle.dumps(held), pickle.dumps(ranges), failed))
 
     return packets.groupBy("session_id").applyInPandasWithState(step, schema, "held binary, ranges binary, failed boolean", "append", GroupStateTimeout.NoTimeout)
 

@@ -6,15 +6,20 @@ from loomline.streaming.gestures import commands
 from loomline.streaming.hooks import diarize, diarize_stream, labelled_ranges, transcribe_both, with_taps
 
 
-def halves(pcm):
-    if len(pcm) == 3:
-        raise RuntimeError("too short")
-    return [(0, 0, len(pcm) // 2), (1, len(pcm) // 2, len(pcm))]
+def splitter():
+    """Made here, so that it is shipped by value: workers don't know this module."""
+
+    def halves(pcm):
+        if len(pcm) == 3:
+            raise RuntimeError("too short")
+        return [(0, 0, len(pcm) // 2), (1, len(pcm) // 2, len(pcm))]
+
+    return halves
 
 
 def test_a_failing_diarizer_leaves_a_plain_transcript(spark):
     df = spark.createDataFrame([("a", [0.0] * 10), ("b", [0.0] * 3), ("c", None)], "recording_id string, pcm array<float>")
-    got = labelled_ranges(diarize(df, halves)).collect()
+    got = labelled_ranges(diarize(df, splitter())).collect()
     assert [tuple(r) for r in sorted(got)] == [("a", "Speaker 1", 0, 5), ("a", "Speaker 2", 5, 10)]
 
 
@@ -24,23 +29,22 @@ def test_both_channels_are_recognised_and_merged(spark):
     assert [(r.source, r.start_ms, r.text) for r in lines] == [("speaker", 8, "said 3"), ("mic", 9, "said 5")]
 
 
-class Counting:
-    """Reports a range for each packet, and at the end one for the whole."""
-
-    def __init__(self):
-        self.seen = 0
+def test_live_diarization(spark):
+    class Counting:
+        """Reports a range for each packet, and at the end one for the whole."""
 
-    def feed(self, pcm):
-        if len(pcm) and pcm[0] < 0:
-            raise RuntimeError("broken")
-        self.seen += len(pcm)
-        return [(0, self.seen - len(pcm), self.seen)]
+        def __init__(self):
+            self.seen = 0
 
-    def flush(self):
-        return [(9, 0, self.seen)]
+        def feed(self, pcm):
+            if len(pcm) and pcm[0] < 0:
+                raise RuntimeError("broken")
+            self.seen += len(pcm)
+            return [(0, self.seen - len(pcm), self.seen)]
 
+        def flush(self):
+            return [(9, 0, self.seen)]
 
-def test_live_diarization(spark):
     path, out, state = (scratch(spark, x) for x in ("packets", "ranges", "state"))
     schema = "session_id string, packet_no long, samples array<float>, is_end boolean"
     for rows in ([("a", 0, [1.0] * 4, False), ("b", 0, [-1.0], False)], [("a", 1, [1.0] * 2, True), ("b", 1, [1.0], True), ("c", 0, [1.0], False)]):
@@ -84,4 +88,4 @@ def test_gestures(spark, events, want):
 
 
 def test_nothing_to_hear(spark):
-    assert diarize(spark.createDataFrame([], "recording_id string, pcm array<float>"), halves).count() == 0 and np.isfinite(1)
+    assert diarize(spark.createDataFrame([], "recording_id string, pcm array<float>"), splitter()).count() == 0 and np.isfinite(1)
