@@ -32,7 +32,7 @@ from loomline.session import scratch
 #: Buckets terms are hashed into, and the most cells of H; with very many subjects the buckets of the fewest documents go.
 WIDE, MODEL_CELLS = 1 << 20, 1 << 25
 #: Free components, updates of W in a pass, and rounds over the components of H.
-FREE, INNER, SWEEPS = 4, 12, 3
+FREE, INNER, SWEEPS = 4, 12, 6
 #: H has converged if a pass moves the anchored components by less than this part of their norm; passes at most.
 TOLERANCE, MAX_PASSES = 0.002, 30
 #: Weight of the seed in an anchored component after an update, and of a described term next to the labelled ones.
@@ -201,13 +201,25 @@ class Model:
         return told / np.maximum(np.bincount(document, minlength=documents), 1)[:, None]
 
 
+def packed(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Lists of 32-bit integers as binaries, which cost the JVM a value a list, not one an element."""
+    ends = np.append(0, np.cumsum(lengths)).astype(np.int32) * 4
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(values, np.int32).tobytes())])
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of ``packed`` lists, and their lengths."""
+    _, ends, data = column.buffers()
+    at = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    count = int(at[-1] - at[0]) // 4
+    return np.frombuffer(data, np.int32, count, int(at[0])) if count else np.zeros(0, np.int32), np.diff(at) // 4
+
+
 def flatten(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Of a batch of the stored matrix: terms, the sentence of each, the document of each sentence, number of documents."""
-    lists, ends = batch.column(1), batch.column(2)
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    sizes = ends.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    per_doc = ends.value_lengths().to_numpy(zero_copy_only=False)
-    return flat, np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(batch.num_rows), per_doc), batch.num_rows
+    flat, _ = unpacked(batch.column(1))
+    sizes, per_doc = unpacked(batch.column(2))
+    return flat.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(batch.num_rows), per_doc), batch.num_rows
 
 
 def parts(batches: Iterable[pa.RecordBatch], size: int = BATCH) -> Iterator[pa.RecordBatch]:
@@ -217,7 +229,7 @@ def parts(batches: Iterable[pa.RecordBatch], size: int = BATCH) -> Iterator[pa.R
 
 
 def store_matrix(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Terms of every document, written to the shared folder: ``k, terms, sizes`` (terms a sentence), ``own, times`` (the document's different terms and their counts)."""
+    """Terms of every document, written to the shared folder: ``k, terms, sizes`` (terms a sentence), ``own, times`` (the document's different terms and their counts), each a packed list."""
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("x"))
     kind = rows.schema["k"].dataType.simpleString()
 
@@ -232,23 +244,20 @@ def store_matrix(docs: DataFrame, key: str, text: str) -> DataFrame:
                 per_doc.append(len(ss))
             flat, sentence = terms(np.array(hashes, np.uint64), np.repeat(np.arange(len(sizes)), sizes))
             document = np.repeat(np.arange(len(per_doc)), per_doc)[sentence]
-            lists = lambda values, lengths: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(values, pa.int32()))
-            told = lists(flat, np.bincount(document, minlength=len(per_doc))), lists(np.bincount(sentence, minlength=len(sizes)), per_doc)
+            told = packed(flat, np.bincount(document, minlength=len(per_doc))), packed(np.bincount(sentence, minlength=len(sizes)), np.array(per_doc, int))
             counts = Rows.count(flat, document, len(per_doc))
-            ends = pa.array(np.append(0, counts.ends), pa.int32())
-            own, times = (pa.ListArray.from_arrays(ends, pa.array(v, pa.int32())) for v in (counts.index, counts.value))
+            own, times = packed(counts.index, counts.sizes()), packed(counts.value, counts.sizes())
             yield pa.RecordBatch.from_arrays([batch.column(0), *told, own, times], names=["k", "terms", "sizes", "own", "times"])
 
     path = scratch(docs.sparkSession, "matrix")
-    rows.mapInArrow(run, f"k {kind}, terms array<int>, sizes array<int>, own array<int>, times array<int>").write.parquet(path)
+    rows.mapInArrow(run, f"k {kind}, terms binary, sizes binary, own binary, times binary").write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
 def counts_of(batch: pa.RecordBatch) -> Rows:
     """The documents' counts, in the first two columns of a batch."""
-    values = lambda c: c.flatten().to_numpy(zero_copy_only=False)
-    own, times = batch.column(0), batch.column(1)
-    return Rows(values(own), values(times), np.cumsum(own.value_lengths().to_numpy(zero_copy_only=False)))
+    own, lengths = unpacked(batch.column(0))
+    return Rows(own, unpacked(batch.column(1))[0], np.cumsum(lengths))
 
 
 def summed(rows: DataFrame, height: int, width: int, product) -> np.ndarray:
