@@ -1,7 +1,7 @@
 """Notes into search chunks, and the index over them.
 
-Chunks have ``note_id, ordinal, start_ms, end_ms, text``. The folds that fill a chunk up to a word budget and then start
-anew run over sorted partitions in constant memory.
+Chunks have ``note_id, ordinal, start_ms, end_ms, text``. Filling a chunk up to a word budget and then starting anew is split
+into stretches of a note by what a stretch does to a chunk of any size.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from loomline.functions.text import extract_terms, normalize_tag, trim_ws, word_
 from loomline.operators.changes import current, publish
 from loomline.operators.fold import Fold, fold_sorted
 from loomline.operators.log_store import live, merged_meta
+from loomline.operators.sequence import gathered
 
 TARGET_WORDS = 420
 MAX_WORDS = 620
@@ -31,38 +33,71 @@ def _words(text: str) -> int:
     return sum(1 for w in _SPACE.split(text) if w)
 
 
-class _FillToTarget(Fold):
-    def __init__(self, target: int = TARGET_WORDS) -> None:
-        self.target, self.ordinal = target, 0
-        self._clear()
+class _Transitions(Fold):
+    """What a stretch of lines does to a chunk that has 0, 1, 2... words when it begins: words at its end, and chunks ended in it."""
 
-    def _clear(self) -> None:
-        self.parts, self.count, self.start, self.stop = [], 0, None, None
-
-    def _chunk(self) -> tuple:
-        out = (self.ordinal, self.start, self.stop, " ".join(self.parts))
-        self.ordinal += 1
-        self._clear()
-        return out
+    def __init__(self, target: int) -> None:
+        self.target, self.where = target, None
+        self.count, self.ended = np.arange(target), np.zeros(target, int)
 
     def step(self, row):
-        start, end, text = row
-        self.parts.append(text)
-        self.count += _words(text)
-        self.start = start if self.start is None else self.start
-        self.stop = end if end is not None else self.stop
-        if self.count >= self.target:
-            yield self._chunk()
+        *self.where, k = row
+        self.count += k
+        full = self.count >= self.target
+        self.ended += full
+        self.count[full] = 0
+        return ()
 
     def end(self):
-        if self.parts:
-            yield self._chunk()
+        yield *self.where, self.count.tolist(), self.ended.tolist()
+
+
+class _Carry(Fold):
+    """Words and chunks before each stretch of a note."""
 
+    def __init__(self) -> None:
+        self.count = self.ordinal = 0
+
+    def step(self, row):
+        stretch, count, ended = row
+        yield stretch, self.count, self.ordinal
+        self.ordinal += ended[self.count]
+        self.count = count[self.count]
 
-def fill_chunks(lines: DataFrame, order: list[str], target: int = TARGET_WORDS) -> DataFrame:
-    """Lines (``note_id, start_ms, end_ms, text``) joined until a chunk has ``target`` words; blank ones don't count."""
-    rows = lines.withColumn("text", trim_ws(F.col("text"))).filter("text <> ''")
-    return fold_sorted(rows, "note_id", order, ["start_ms", "end_ms", "text"], lambda: _FillToTarget(target), CHUNK)
+
+class _Assign(Fold):
+    """The chunk of each line of a stretch."""
+
+    def __init__(self, target: int) -> None:
+        self.target, self.n, self.state = target, 0, None
+
+    def step(self, row):
+        *line, k, count, ordinal = row
+        count, ordinal = self.state or (count, ordinal)
+        yield *line, self.n, ordinal
+        self.n += 1
+        self.state = (count + k, ordinal) if count + k < self.target else (0, ordinal + 1)
+
+
+def fill_chunks(lines: DataFrame, order: list[str], target: int = TARGET_WORDS, stretch: int = 3_600_000) -> DataFrame:
+    """Lines (``note_id, start_ms, end_ms, text``) joined until a chunk has ``target`` words; blank ones don't count.
+
+    Where a chunk ends depends on all lines before. So stretches of a note, ``stretch`` units of the first of ``order`` each, first
+    tell what they do to a chunk of any size; one row a stretch is walked in order, and then every stretch knows how
+    it begins. No task walks a note's lines.
+    """
+    note, part = F.col("note_id").cast("string").alias("note_id"), F.floor(F.col(order[0]) / F.lit(stretch)).alias("__b")
+    rows = lines.withColumn("text", trim_ws(F.col("text"))).filter("text <> '' AND note_id IS NOT NULL").select(note, part, *dict.fromkeys([*order, "start_ms", "end_ms", "text"]), word_count(F.col("text")).alias("__k"))
+    rows = rows.withColumn("__key", F.to_json(F.struct("note_id", "__b")))
+    moves = fold_sorted(rows, "__key", order, ["note_id", "__b", "__k"], lambda: _Transitions(target), "__key string, note_id string, __b long, count array<int>, ended array<int>")
+    before = fold_sorted(moves, "note_id", ["__b"], ["__b", "count", "ended"], _Carry, "note_id string, __b long, count int, ordinal int")
+    placed = rows.join(before, ["note_id", "__b"])
+    schema = "__key string, note_id string, b long, start_ms long, end_ms long, text string, n long, ordinal int"
+    told = fold_sorted(placed, "__key", order, ["note_id", "__b", "start_ms", "end_ms", "text", "__k", "count", "ordinal"], lambda: _Assign(target), schema)
+    at = F.struct("b", "n")
+    value = lambda c: F.when(F.col(c).isNotNull(), F.struct(at.alias("at"), F.col(c).alias("v")))
+    chunks = told.groupBy("note_id", "ordinal").agg(F.min(value("start_ms")).getField("v").alias("start_ms"), F.max(value("end_ms")).getField("v").alias("end_ms"), gathered(at, F.col("text"), " ").alias("text"))
+    return chunks.select("note_id", "ordinal", "start_ms", "end_ms", "text")
 
 
 def fixed_windows(text: Column, size: int = TARGET_WORDS) -> Column:
@@ -131,7 +166,7 @@ def chunk_records(records: DataFrame) -> DataFrame:
     item = lambda c: F.transform(c, lambda x: F.struct(x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), x["text"].alias("text")))
     lines = spoken.select("note_id", F.posexplode(F.when(F.size("speaker_blocks") > 0, item("speaker_blocks")).otherwise(item("segments"))).alias("i", "x")).select("note_id", "i", "x.*")
     written = alive.filter("kind = 'written'").select("note_id", F.coalesce("written_content", F.lit("")).alias("text"))
-    return fill_chunks(lines, ["i"]).unionByName(chunk_dictated(alive.filter("kind = 'dictate'"))).unionByName(chunk_written(written))
+    return fill_chunks(lines, ["i"], stretch=1_000).unionByName(chunk_dictated(alive.filter("kind = 'dictate'"))).unionByName(chunk_written(written))
 
 
 def build_index(records: DataFrame, meta: DataFrame, embed=None) -> DataFrame:

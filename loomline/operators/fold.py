@@ -1,7 +1,8 @@
 """Folds over ordered rows of a key in constant memory.
 
 Rows are partitioned by key and sorted; the fold walks a partition's batches and keeps one key's state at a time, so
-no group is ever collected. A key is one task's work; where a window or ``sequence`` can say the same, use that.
+no group is ever collected. A key is one task's work, so callers choose keys that stay small: stretches between pauses, or
+stretches of time whose effects are carried on.
 """
 
 from __future__ import annotations

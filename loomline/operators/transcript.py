@@ -126,19 +126,29 @@ class _DropNearDuplicates(Fold):
         self.kept: tuple[str, int] | None = None
 
     def step(self, row):
-        pos, start, end, text, source = row
+        *head, start, end, text, source = row
         if self.kept and self.kept[0].endswith(text) and abs(start - self.kept[1]) <= NEAR_DUPLICATE_MS:
             return
         self.kept = (text, start)
-        yield pos, start, end, text, source
+        yield *head, start, end, text, source
 
 
 def merge_channels(lines: DataFrame) -> DataFrame:
-    """Both channels in order of start, the microphone first; a line that ends the last kept one within 1.5 s is dropped."""
-    rows = lines.filter("start_ms IS NOT NULL").withColumn("text", F.coalesce(trim_ws(F.col("text")), F.lit("")))
-    rows = rows.withColumn("source", F.when(F.col("channel") == "speaker", "speaker").otherwise("mic")).withColumn("__rank", F.col("source") == "speaker")
-    schema = "recording_id string, pos long, start_ms long, end_ms long, text string, source string"
-    return fold_sorted(rows, "recording_id", ["start_ms", "__rank", "pos"], ["pos", "start_ms", "end_ms", "text", "source"], _DropNearDuplicates, schema)
+    """Both channels in order of start, the microphone first; a line that ends the last kept one within 1.5 s is dropped.
+
+    A pause of more than 1.5 s between two starts ends what a line can be dropped for, so each stretch between such pauses is
+    walked by itself.
+    """
+    rows = lines.filter("start_ms IS NOT NULL AND recording_id IS NOT NULL").withColumn("text", F.coalesce(trim_ws(F.col("text")), F.lit("")))
+    rows = rows.withColumn("source", F.when(F.col("channel") == "speaker", "speaker").otherwise("mic")).withColumn("__rank", (F.col("source") == "speaker").cast("int"))
+    order = ["start_ms", "__rank", "pos"]
+    placed = bucketed(rows.select("recording_id", *order, "end_ms", "text", "source"), ["recording_id"], "start_ms")
+    seen = with_previous(placed, ["recording_id"], order, ["start_ms"])
+    pause = F.coalesce(F.col("start_ms") - F.col("prev.start_ms") > NEAR_DUPLICATE_MS, F.lit(True))
+    stretched = with_latest(seen.withColumn("__opens", pause).drop("prev"), ["recording_id"], order, F.when(F.col("__opens"), F.struct(*order)), "__first")
+    keyed = stretched.withColumn("__stretch", F.to_json(F.struct("recording_id", "__first")))
+    schema = "__stretch string, recording_id string, pos long, start_ms long, end_ms long, text string, source string"
+    return fold_sorted(keyed, "__stretch", order, ["recording_id", "pos", "start_ms", "end_ms", "text", "source"], _DropNearDuplicates, schema).drop("__stretch")
 
 
 def granularity(lines: DataFrame) -> DataFrame:

@@ -154,3 +154,24 @@ def test_files(spark, tmp_path):
     assert src.load_config(str(config), {"a": 1, "b": 3}) == {"a": 2, "b": 3}
     src.write_documents(spark.createDataFrame([("n.md", "text")], "name string, body string"), str(tmp_path / "out"))
     assert (tmp_path / "out" / "n.md").read_text() == "text"
+
+
+def test_chunks_over_many_stretches(spark):
+    import random
+
+    rnd = random.Random(8)
+    rows = [(rnd.choice("aab"), i * 700, rnd.choice([None, i * 700]), rnd.choice([None, i * 700 + 500]), " ".join(["w"] * rnd.choice([0, 1, 5, 9, 30])) + f" l{i}") for i in range(400)]
+    rows.append((None, 5, 5, 5, "no note"))
+    df = spark.createDataFrame(rows, "note_id string, i bigint, start_ms bigint, end_ms bigint, text string").repartition(3)
+    got = {(r.note_id, r.ordinal): (r.start_ms, r.end_ms, r.text) for r in c.fill_chunks(df, ["i"], target=40, stretch=9_000).collect()}
+    want = {}
+    for note in "ab":
+        parts, ordinal = [], 0
+        for row in [r for r in rows if r[0] == note] + [None]:
+            if row:
+                parts.append(row)
+            if parts and (row is None or sum(len(p[4].split()) for p in parts) >= 40):
+                starts, ends = [p[2] for p in parts if p[2] is not None], [p[3] for p in parts if p[3] is not None]
+                want[note, ordinal] = (starts[0] if starts else None, ends[-1] if ends else None, " ".join(p[4].strip() for p in parts))
+                parts, ordinal = [], ordinal + 1
+    assert got == want and c.fill_chunks(df.limit(0), ["i"]).count() == 0
