@@ -37,7 +37,7 @@ WAYS = 3
 BLOCK_TOKENS = 2_000_000
 MAX_TOKENS = 20_000_000
 #: Part of the share that a passage's weight of own words must reach, or the share itself in tiles with runs of so many words that only it has.
-OWN_SHARE, OWN_RUN = 0.5, 8
+OWN_SHARE, OWN_RUN = 0.4, 8
 #: Words the two sides of a bridged change may differ by.
 BRIDGE = 2
 
