@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import os
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import progress, score, signal, text
 from loomline.operators import log_store, read_models, transcript
+from loomline.operators.fold import cells
 from loomline.operators.search import result_lines
 from loomline.plans.reference_queries import _ALIGNED, _CHUNKS, _LIVE, _TURNS, SUMMARY, chunks, history, lines, records, s_cleanup, s_collapse, s_hms, s_mmss, s_trim, s_words, turns
-from loomline.session import table
+from loomline.session import scratch, table
+from loomline.sources.records import decode_files, encode_wav, read_legacy_dictate, read_legacy_markdown, read_sidecars, read_speaker_names, wav_millis, write_documents
 from loomline.streaming.phrases import at_rate, debounced, retimed
 
 QUERIES: dict = {}
@@ -79,6 +85,72 @@ def search_lines(spark, sf):
     return result_lines(keyed).select(F.split("line", "\x00")[1].alias("id"), F.regexp_replace("line", "\x00[^\x00]*\x00", "").alias("line"))
 
 
+# Stored formats, written to the shared folder and read back
+
+
+def _local(path: str) -> str:
+    """A scratch path as the file writers see it; they need a folder mounted alike everywhere."""
+    if "://" in path.removeprefix("file://"):
+        raise ValueError("the shared folder is not mounted as files")
+    return path.removeprefix("file://")
+
+
+def _json_file(spark: SparkSession, rows: DataFrame, name: str) -> str:
+    """A small table of fixed size as one JSON array."""
+    path = f"{_local(scratch(spark, name))}.json"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump([r.asDict() for r in rows.collect()], f, ensure_ascii=False)
+    return "file://" + path
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS id, benchmark AS timestamp, text FROM eval_items")
+def dictate_scan(spark, sf):
+    rows = table(spark, sf, "eval_items").select(F.col("item_id").cast("string").alias("id"), F.col("benchmark").alias("timestamp"), "text")
+    return read_legacy_dictate(spark, _json_file(spark, rows, "dictations"))
+
+
+@query("SELECT name, slug, created_at, updated_at FROM speaker_names ORDER BY lower(name)")
+def names_scan(spark, sf):
+    rows = table(spark, sf, "speaker_names").select("name", "slug", "created_at", "updated_at")
+    return read_models.names_in_order(read_speaker_names(spark, _json_file(spark, rows, "names")))
+
+
+@query(f"SELECT doc_id || '.md' AS file, coalesce(nullif(regexp_replace({s_trim('save_folder')}, '^[''\"]+|[''\"]+$', '', 'g'), ''), CAST(doc_id AS VARCHAR)) AS title, coalesce(nullif({s_trim('source')}, ''), '') AS model FROM documents WHERE {s_trim('text')} <> ''")
+def markdown_scan(spark, sf):
+    """Every document written as a Markdown file by tasks and its front matter read back."""
+    folder = _local(scratch(spark, "documents"))
+    docs = table(spark, sf, "documents").filter(text.trim_ws(F.col("text")) != "")
+    head = F.concat(F.lit("---\ntitle: '"), F.coalesce("save_folder", F.lit("")), F.lit("'\nmodel: "), F.coalesce("source", F.lit("")), F.lit("\n---\n\n"), "text")
+    write_documents(docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("name"), head.alias("body")), folder)
+    return read_models.latest_files(read_legacy_markdown(spark, "file://" + folder)).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), "title", "model")
+
+
+@query(f"WITH m AS (SELECT note_id, max(title) AS title FROM note_meta WHERE note_id IS NOT NULL GROUP BY note_id) SELECT note_id, title, 'Body of ' || note_id AS content FROM m")
+def sidecar_scan(spark, sf):
+    """A body and a JSON file a note, written by tasks and read back."""
+    folder = _local(scratch(spark, "sidecars"))
+    meta = table(spark, sf, "note_meta").filter("note_id IS NOT NULL").groupBy("note_id").agg(F.max("title").alias("title"))
+    files = meta.select(F.explode(F.array(F.struct(F.concat(F.lit(".notes/"), "note_id", F.lit("/meta.json")).alias("name"), F.to_json(F.struct("title", F.array(F.lit("t")).alias("tags"))).alias("body")), F.struct(F.concat(F.lit(".notes/"), "note_id", F.lit("/written.md")).alias("name"), F.concat(F.lit("Body of "), "note_id").alias("body")))).alias("f")).select("f.*")
+    write_documents(files, folder)
+    bodies, read = read_sidecars(spark, "file://" + folder)
+    return read.join(bodies, "note_id", "full").select("note_id", "title", "content")
+
+
+@query("SELECT vec_id, 4 AS millis, list_transform(embedding, lambda v: CAST(trunc(least(greatest(CAST(v AS DOUBLE) * 32767, -32768), 32767)) AS DOUBLE) / 32768) AS pcm FROM embeddings")
+def wav_round_trip(spark, sf):
+    """Samples encoded as files in memory, their length read from the header, and decoded."""
+
+    def run(batches):
+        for batch in batches:
+            made = [encode_wav(v) for v in cells(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), pa.array([wav_millis(m) for m in made], pa.int32())], names=["path", "content", "millis"])
+
+    files = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("path"), "embedding").mapInArrow(run, "path string, content binary, millis int")
+    decoded = decode_files(files).select("path", F.col("pcm").cast("array<double>").alias("pcm"))
+    return files.select("path", "millis").join(decoded, "path").select(F.col("path").cast("bigint").alias("vec_id"), "millis", "pcm")
+
+
 # Updates of the store
 
 

@@ -224,14 +224,16 @@ def decode_files(files: DataFrame, decode=decode_wav) -> DataFrame:
 
 
 def write_documents(docs: DataFrame, folder: str, name: str = "name", body: str = "body") -> None:
-    """One Markdown file a row, named by ``name``; rows without text are an error. Files go to a folder all executors share."""
+    """One file a row, named by ``name``, which may have folders; rows without text are an error. ``folder`` is mounted alike on all executors."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for n, b in zip(f["n"], f["b"]):
-                part = Path(folder, f".{n}.part")
+                place = Path(folder, n)
+                place.parent.mkdir(parents=True, exist_ok=True)
+                part = place.with_name(f".{place.name}.part")
                 part.write_text(b, encoding="utf-8")
-                part.replace(Path(folder, n))
+                part.replace(place)
             yield f[["n"]]
 
     if not docs.filter(trim_ws(F.coalesce(F.col(body), F.lit(""))) == "").isEmpty():
