@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,8 +34,8 @@ from loomline.session import checkpointed
 TURN_GAP_MS = 60_000
 #: The names table is held by every worker; more rows than this are refused.
 MAX_NAMES = 100_000
-#: Readings a worker remembers.
-MAX_REMEMBERED = 65_536
+#: Readings a worker remembers, and the length from which it reads anew.
+MAX_REMEMBERED, LONG_LABEL = 65_536, 200
 
 #: Levels of the tree, and the share of all heads a node must hold to give its lines a role.
 DEPTH, LEAST_SHARE = 3, 1e-4
@@ -95,6 +96,8 @@ class Labels:
 
     def read(self, label: str) -> str | None:
         """The agreed label; None if ``label`` names no one."""
+        if len(label) > LONG_LABEL:
+            return self._read(label)
         if label not in self.seen:
             if len(self.seen) >= MAX_REMEMBERED:
                 self.seen.clear()
@@ -117,10 +120,9 @@ class Labels:
 def unit(text: str) -> tuple[str, str] | None:
     """The unit at the head of ``text`` and the rest; None if the first line has no closing mark after a word or number."""
     text = text.lstrip()
-    m = _CLOSED.search(text)
-    while m is not None and not _WORDLIKE.search(text, 0, m.end()):
-        m = _CLOSED.search(text, m.end())
-    if m is None or text.find("\n", 0, m.end()) >= 0:
+    word = _WORDLIKE.search(text)
+    m = word and _CLOSED.search(text, word.start())
+    if not m or text.find("\n", 0, m.end()) >= 0:
         return None
     return text[: m.end()], text[m.end() :]
 
@@ -128,7 +130,8 @@ def unit(text: str) -> tuple[str, str] | None:
 def path(own: str, parts: set[str]) -> tuple[str, str, str]:
     """A unit's way down the tree: its layout, its first and its second word; parts of known names are masked."""
     kind = lambda m: "0" if m[0].isdigit() else "w" if m[0].isalpha() else " " if m[0].isspace() else m[0]
-    layout = "".join(kind(m.group()) for m in _SLOT.finditer(own)).replace(" ", "")[:LAYOUT_SLOTS]
+    slots = (k for m in _SLOT.finditer(own) if (k := kind(m.group())) != " ")
+    layout = "".join(islice(slots, LAYOUT_SLOTS))
     words = [m.group() for m, _ in zip(_SLOT_WORD.finditer(own), range(DEPTH - 1))]
     first, second = ["<name>" if fold(w) in parts else w.casefold() for w in words] + [""] * (DEPTH - 1 - len(words))
     return layout, first, second

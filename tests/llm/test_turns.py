@@ -38,6 +38,12 @@ def test_paths_depend_on_the_unit_alone():
     assert tree.nodes[("w:",)] == tree.nodes[("w:", "speaker")] == [3, 0, 3] and tree.nodes[("w:", "speaker", "two")] == [1, 0, 1]
 
 
+@pytest.mark.parametrize("text", ["- " * 60_000, "[a] " * 20_000, "x " * 60_000 + ":", "(" * 60_000, "*" * 60_001, "[" * 60_000 + "a] b", "é: " * 20_000, "1:00 " * 30_000])
+def test_hostile_lines_end(text):
+    label, clean = Extractor({}, Labels(NAMES)).line(text, 0)
+    assert label is None and len(clean) <= len(text)
+
+
 def corpus(n=400, seed=1):
     rnd = random.Random(seed)
     clock = lambda ms: f"{ms // 3_600_000:02}:{ms // 60_000 % 60:02}:{ms // 1000 % 60:02}"
