@@ -41,7 +41,7 @@ OWN_SHARE, OWN_RUN = 0.4, 8
 #: Words the two sides of a bridged change may differ by.
 BRIDGE = 2
 
-_MARKS = re.compile(r"\[[\d:.,]+\]|\(\d+:\d\d\)|<\d+\.\d+>|\d+:\d\d:\d\d(?:\.\d+)?(?:\s*-->|\s+-)?|\*\*[^*\n]{1,40}\*\*\s*·\s*[\d:]+|(?:>>\s*)?\b(?:speaker|spk)[ _#]?(?:\d+|one|two|three|four|five|six)\b\s*[:\]\)-]|^[A-Z]\d?:", re.I | re.M)
+_MARKS = re.compile(r"\[[\d:.,]+\]|\(\d+:\d\d\)|<\d+\.\d+>|(?<!\d)\d+:\d\d:\d\d(?:\.\d+)?(?:\s*-->|\s+-)?|\*\*[^*\n]{1,40}\*\*\s*·\s*[\d:]+|(?:>>\s*)?\b(?:speaker|spk)[ _#]?(?:\d+|one|two|three|four|five|six)\b\s*[:\]\)-]|^[A-Z]\d?:", re.I | re.M)
 _HUM = re.compile(r"(?:u+[hm]+|e+r+m*|[äa]+h+m*|e+u*h+m*|h+m+|m{2,}|m+h+m+)\Z")
 _WORD = re.compile(r"[^\W_]+")
 _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")

@@ -39,6 +39,8 @@ BITS_PER_PART, HASHES, MAX_PARTS = 29, 20, 20_000_000
 CAPITAL_SHARE = 1 / 3
 #: Parts a task counts before it hands them on.
 MAX_COUNTED = 100_000
+#: Texts are searched in windows of so many characters with so many more on both sides, which no span exceeds; some patterns cost the square of what they look at.
+WINDOW, MARGIN = 8_192, 1_024
 #: Characters before and after a span in which words count as its context.
 REACH = 48
 
@@ -236,7 +238,12 @@ _LOCAL = re.compile(r"[._-]|\s(?:dot|underscore|dash|hyphen)\s")
 
 
 def name_parts(text: str) -> Iterator[tuple[str, str | None]]:
-    """Parts of the e-mail addresses of a text, each with every other part of its address, or None."""
+    """Parts of the e-mail addresses of a text, each with every other part of its address, or None; in long texts some come twice."""
+    if len(text) > WINDOW:
+        for a in range(0, len(text), WINDOW):
+            yield from name_parts(text[a : a + WINDOW])
+            yield from name_parts(text[max(0, a - MARGIN) : a + MARGIN] if a else "")
+        return
     low = text.casefold()
     if "@" in text:
         for m in _EMAIL.finditer(text):
@@ -261,12 +268,20 @@ def _parts(local: str) -> Iterator[tuple[str, str | None]]:
 _USED = re.compile(rf"{_L}+(?:['’-](?!s\b){_L}+)*")
 
 
+#: Stretches of a long text that end at white space where there is some.
+_PIECE = re.compile(rf"[\s\S]{{1,{WINDOW - 1}}}(?:\s|\Z)|[\s\S]{{{WINDOW}}}")
+
+
 def uses(text: str, parts: Names) -> Iterator[tuple[str, str | None, bool]]:
     """What a text with capitals tells of words that ``parts`` knows: (word, None, True) for one with a capital away from a
     sentence's start, (word, None, False) for one in lower case without a known neighbour, (word, neighbour, True) for two side by side.
 
     Addresses are no witnesses for their own parts.
     """
+    if len(text) > WINDOW:
+        for piece in _PIECE.findall(text):
+            yield from uses(piece, parts)
+        return
     if not any(map(parts.knows, set(_USED.findall(text)))):
         return
     low = text.lower()
@@ -298,6 +313,19 @@ def uses(text: str, parts: Names) -> Iterator[tuple[str, str | None, bool]]:
 
 def find(text: str, names: Names) -> list[Span]:
     """The spans of personal information in ``text``, in order, none overlapping."""
+    if len(text) <= WINDOW:
+        return find_within(text, names)
+    out: list[Span] = []
+    for a in range(0, len(text), WINDOW):
+        left = max(0, a - MARGIN)
+        for x in find_within(text[left : a + WINDOW + MARGIN], names):
+            x = Span(x.start + left, x.end + left, x.kind, x.score)
+            if a <= x.start < a + WINDOW and (not out or x.start >= out[-1].end):
+                out.append(x)
+    return out
+
+
+def find_within(text: str, names: Names) -> list[Span]:
     if "_" in text:
         text = _EMPHASIS.sub(" ", text)
     found: list[Span] = []

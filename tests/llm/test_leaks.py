@@ -43,6 +43,12 @@ def test_tokens_ignore_looks():
     assert tokens("[00:00:12] Speaker 2: Ünder, um the ﬁsh­—TWO") == ["under", "the", "fish", "two"]
 
 
+def test_hostile_texts_end():
+    index = Index({1: passage(30).split(), 2: ["same"] * 30})
+    for text in ("1" * 200_000, "same " * 20_000, "[" * 100_000, "**a" * 40_000, ">> " * 60_000):
+        assert set(index.find(tokens(text))) <= {2}
+
+
 def leaks(spark, docs, items):
     d = spark.createDataFrame(docs, "doc_id bigint, text string, size int")
     i = spark.createDataFrame(items, "item_id bigint, text string, tiled string")

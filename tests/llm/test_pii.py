@@ -66,6 +66,19 @@ def test_the_filter_errs_once_in_a_million():
         pii.Parts([], pii.MAX_PARTS + 1)
 
 
+def test_long_texts_are_searched_whole():
+    one = "Ann Bell, ann.bell@post.example or 555-0171 at 46 Miller's Cross Lane, and on. "
+    text = one * 500
+    found = [s.kind for s in pii.find(text, NAMES)]
+    assert found == [s.kind for s in pii.find(one, NAMES)] * 500 and {text[s.start : s.end] for s in pii.find(text, NAMES) if s.kind == "name"} == {"Ann Bell"}
+    assert {p for p, _ in pii.name_parts(text)} == {"ann", "bell", "annbell"} and sum(1 for w, m, _ in pii.uses(text, NAMES) if m) == 1000
+
+
+@pytest.mark.parametrize("text", ["dot at " * 4000, "a dot " * 4000 + "at x dot com", "one " * 6000, "0 " * 20_000, "12 a b c street " * 2000, "calle de la " * 3000 + "12", "twenty " * 4000 + "street", "[at] " * 6000 + "[dot] x", "tax id 1 " * 3000, "x" * 50_000])
+def test_hostile_texts_end(text):
+    assert isinstance(pii.find(text, NAMES), list) and isinstance(list(pii.name_parts(text)), list) and isinstance(list(pii.uses(text + " A a", NAMES)), list)
+
+
 def test_role_accounts_teach_no_names(spark):
     role = ["support@firm.example", "team@firm.example", "data.science@firm.example", "Ada Roe", "jane.roe (at) example (dot) org", "mick.hollis@firm.example"]
     said = ["Ask our support team about it.", "The data science meeting is at noon.", "Then Jane Roe called, and Mick came.", "They said jane roe called.", "We asked mick hollis again."]
