@@ -268,6 +268,7 @@ def _parts(local: str) -> Iterator[tuple[str, str | None]]:
 _USED = re.compile(rf"{_L}+(?:['’-](?!s\b){_L}+)*")
 
 
+_JOINT = re.compile("['’-]")
 #: Stretches of a long text that end at white space where there is some.
 _PIECE = re.compile(rf"[\s\S]{{1,{WINDOW - 1}}}(?:\s|\Z)|[\s\S]{{{WINDOW}}}")
 
@@ -282,7 +283,7 @@ def uses(text: str, parts: Names) -> Iterator[tuple[str, str | None, bool]]:
         for piece in _PIECE.findall(text):
             yield from uses(piece, parts)
         return
-    if not any(map(parts.knows, set(_USED.findall(text)))):
+    if not any(map(parts.knows, _USED.findall(text))):
         return
     low = text.lower()
     if text == low or text == text.upper():
@@ -384,7 +385,13 @@ def find_within(text: str, names: Names) -> list[Span]:
         cased = m["street"][0].isupper() and m["kind"][0].isupper()
         add(m, "address", (0.7 if cased else 0.55 if strong else 0.35) + near(text, *m.span(), "address"))
     taken = [x for x in found if x.score >= THRESHOLD]
-    taken += people(text, names, taken, not words.isdisjoint(_TITLE_WORDS))
+    titled = not words.isdisjoint(_TITLE_WORDS)
+    whole = _USED.findall(text) if _JOINT.search(text) else plain
+    paired = sum(map(names.knows, whole)) > 1
+    if titled or paired:
+        taken += people(text, names, taken, titled, paired)
+    if not taken:
+        return taken
     out: list[Span] = []
     for x in sorted(taken, key=lambda x: (-x.score, x.start - x.end, x.start)):
         if all(x.end <= y.start or x.start >= y.end for y in out):
@@ -395,8 +402,8 @@ def find_within(text: str, names: Names) -> list[Span]:
 _NOT_NAMES = re.compile(rf"(?:{SMALL}|{STRONG_STREETS}|{WEAK_STREETS}|{TITLES}|bridge|choir|valley|project|stories|blend|prize|award|foundation|trust|university|school|hospital|church|park|station|hotel|museum|river|lake)\Z", re.I)
 
 
-def people(text: str, names: Names, taken: list[Span], titled: bool = True) -> Iterator[Span]:
-    """Names of persons outside the spans already taken. ``titled``: whether the text has a title."""
+def people(text: str, names: Names, taken: list[Span], titled: bool, paired: bool) -> Iterator[Span]:
+    """Names of persons outside the spans already taken. ``titled``, ``paired``: whether the text has a title, and two known words."""
     free = lambda s, e: all(e <= x.start or s >= x.end for x in taken)
     spelt_low = text == text.lower()
     for m in _TITLED.finditer(text) if titled else ():
@@ -411,7 +418,7 @@ def people(text: str, names: Names, taken: list[Span], titled: bool = True) -> I
         if len(words) > 1 and names.knows(words[1].group()):
             end = words[1].end()
         yield Span(m.start(), end, "name", 0.9)
-    if sum(map(names.knows, _USED.findall(text))) < 2:
+    if not paired:
         return
     words = list(_TOKEN.finditer(text))
     i = 0
