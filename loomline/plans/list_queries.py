@@ -13,13 +13,17 @@ from loomline.functions import progress, score, signal, text
 from loomline.operators import log_store, read_models, transcript
 from loomline.operators.fold import cells
 from loomline.operators.search import result_lines
-from loomline.plans.reference_queries import _ALIGNED, _CHUNKS, _LIVE, _TURNS, SUMMARY, chunks, history, lines, records, s_cleanup, s_collapse, s_hms, s_mmss, s_trim, s_words, turns
+from loomline.plans import fold_sql
+from loomline.plans.reference_queries import SQL as REFERENCE_SQL
+from loomline.plans.reference_queries import _ALIGNED, _CHUNKS, _LIVE, _TURNS, SUMMARY, chunks, history, records, s_block, s_cleanup, s_hms, s_mmss, s_trim, s_words, turns
 from loomline.session import scratch, table
 from loomline.sources.records import decode_files, encode_wav, read_legacy_dictate, read_legacy_markdown, read_sidecars, read_speaker_names, wav_millis, write_documents
-from loomline.streaming.phrases import at_rate, debounced, retimed
+from loomline.streaming.hooks import diarize, labelled_ranges, transcribe_both
+from loomline.streaming.phrases import PHRASE, Limits, at_rate, debounced, phrases_stream, retimed
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+PHRASES = REFERENCE_SQL["phrase_segments"]
 
 
 def query(sql: str):
@@ -303,6 +307,16 @@ def dictation_words(spark, sf):
     return rows.select("id", text.word_count(joined).cast("bigint").alias("n"))
 
 
+_JOINED = f"joined AS (SELECT id, array_to_string(list_filter(list_transform(segments, lambda s: {s_cleanup('s.text')}), lambda t: t <> ''), ' ') AS x FROM alive WHERE kind = 'dictate')"
+_HALVES = f"halves AS (SELECT id, x, {s_trim('x')} AS t FROM joined), halved AS (SELECT id, CASE WHEN length(t) > 0 AND {s_trim('substring(t, 1, length(t) // 2)')} = {s_trim('substring(t, length(t) // 2 + 1)')} THEN {s_trim('substring(t, 1, length(t) // 2)')} ELSE x END AS text FROM halves)"
+
+
+@query(f"WITH RECURSIVE {_LIVE}, {_JOINED}, {_HALVES}, {fold_sql.phrases('halved', 'id', 'text')} SELECT id, {s_block('text')} AS text FROM said")
+def dictation_texts(spark, sf):
+    rows = alive(spark, sf, "kind", "segments").filter("kind = 'dictate'")
+    return rows.select("id", transcript.dictation_text(F.transform("segments", lambda s: s["text"])).alias("text"))
+
+
 @query("SELECT o_orderkey, CAST(o_orderkey % 400 AS INTEGER) AS days FROM orders")
 def days_parsed(spark, sf):
     days = table(spark, sf, "orders").select("o_orderkey", F.concat((F.col("o_orderkey") % 400).cast("string"), F.lit("d")).alias("since"))
@@ -350,6 +364,34 @@ def retimed_segments(spark, sf):
     return retimed(rows).select("event_id", "start_ms", "end_ms")
 
 
+@query("SELECT CAST(vec_id AS VARCHAR) AS recording_id, 'Speaker ' || (s + 1) AS label, s * 32 AS start_ms, s * 32 + 32 AS end_ms FROM embeddings, (SELECT unnest([0, 1]) AS s)")
+def hooked_ranges(spark, sf):
+    """A stand-in diarizer that hears a speaker in each half."""
+    pcm = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("recording_id"), F.col("embedding").alias("pcm"))
+    return labelled_ranges(diarize(pcm, lambda v: [(0, 0, len(v) // 2), (1, len(v) // 2, len(v))]))
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS recording_id, 0 AS pos, CASE source WHEN 'mic' THEN 64 ELSE 32 END AS start_ms, 100 AS end_ms, source || ' line' AS text, source FROM embeddings, (SELECT unnest(['mic', 'speaker']) AS source)")
+def hooked_lines(spark, sf):
+    """A stand-in recogniser that starts a line at the number of samples; both channels merged."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("recording_id"), F.explode(F.array(F.lit("mic"), F.lit("speaker"))).alias("channel"), "embedding")
+    pcm = rows.withColumn("pcm", F.when(F.col("channel") == "mic", F.col("embedding")).otherwise(F.slice("embedding", 1, 32))).select("recording_id", "channel", "pcm")
+    return transcribe_both(pcm, lambda v: [(len(v), 100, "mic line" if len(v) == 64 else "speaker line")])
+
+
+@query(PHRASES)
+def phrase_stream(spark, sf):
+    """The packets of every session as a stream; the same phrases as the batch replay."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    loud = F.when(F.col("value") > 20, F.lit(0.5)).otherwise(F.lit(0.0))
+    packets = table(spark, sf, "events").filter("user_id IS NOT NULL").select(F.col("user_id").cast("string").alias("session_id"), (F.row_number().over(w) - 1).cast("bigint").alias("packet_no"), F.array_repeat(loud, 512).cast("array<float>").alias("samples"), F.lead("event_id").over(w).isNull().alias("is_end"))
+    path, out, state = (scratch(spark, f"phrases-{x}") for x in ("packets", "out", "state"))
+    packets.write.parquet(path)
+    stream = phrases_stream(spark.readStream.schema(packets.schema).parquet(path), limits=Limits(step=512, least=2048, quiet=2))
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(PHRASE).parquet(out)
+
+
 # Progress
 
 
