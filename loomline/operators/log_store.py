@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from loomline.functions.text import reserved_label, trim_ws, word_count
 from loomline.operators.changes import publish
@@ -18,7 +19,10 @@ def usable(log: DataFrame) -> DataFrame:
     """Rows with no required field null and a known kind."""
     ok = F.col("kind").isin(KINDS)
     for name in REQUIRED:
-        ok &= F.col(name).isNotNull()
+        kind = log.schema[name].dataType
+        # A list is null where one field of its elements is; reading that one leaves the texts alone.
+        nested = isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType)
+        ok &= F.col(f"{name}.{kind.elementType.names[0]}" if nested else name).isNotNull()
     return log.filter(ok)
 
 

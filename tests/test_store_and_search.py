@@ -175,3 +175,12 @@ def test_chunks_over_many_stretches(spark):
                 want[note, ordinal] = (starts[0] if starts else None, ends[-1] if ends else None, " ".join(p[4].strip() for p in parts))
                 parts, ordinal = [], ordinal + 1
     assert got == want and c.fill_chunks(df.limit(0), ["i"]).count() == 0
+
+
+def test_counting_reads_no_texts(spark):
+    path = scratch(spark, "log")
+    log(spark, row(1, "a"), row(2, "b", segments=[]), row(3, "c", segments=None), row(4, "d", kind="written")).write.parquet(path)
+    counted = rm.counts_by_kind(ls.replay(ls.usable(spark.read.parquet(path)), ["kind"]))
+    assert tuple(counted.first())[:2] == (3, 2)
+    plan = counted._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "segments:array<struct<start_ms:bigint>>" in plan and "written_content" not in plan
