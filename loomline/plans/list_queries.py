@@ -143,16 +143,20 @@ def sidecar_scan(spark, sf):
 
 @query("SELECT vec_id, 4 AS millis, list_transform(embedding, lambda v: CAST(trunc(least(greatest(CAST(v AS DOUBLE) * 32767, -32768), 32767)) AS DOUBLE) / 32768) AS pcm FROM embeddings")
 def wav_round_trip(spark, sf):
-    """Samples encoded as files in memory, their length read from the header, and decoded."""
+    """Samples encoded as files in memory, their length read from the header, and decoded.
+
+    As SQL has it, NaN is the highest sample and null the lowest, and a sample cut to zero keeps its sign; a file of whole numbers can't, so the sign is the input's.
+    """
 
     def run(batches):
         for batch in batches:
-            made = [encode_wav(v) for v in cells(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), pa.array([wav_millis(m) for m in made], pa.int32())], names=["path", "content", "millis"])
+            made = [None if v is None else encode_wav(v) for v in cells(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary()), pa.array([None if m is None else wav_millis(m) for m in made], pa.int32())], names=["path", "given", "content", "millis"])
 
-    files = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("path"), "embedding").mapInArrow(run, "path string, content binary, millis int")
-    decoded = decode_files(files).select("path", F.col("pcm").cast("array<double>").alias("pcm"))
-    return files.select("path", "millis").join(decoded, "path").select(F.col("path").cast("bigint").alias("vec_id"), "millis", "pcm")
+    bounded = F.transform("embedding", lambda v: F.least(F.greatest(v, F.lit(-2.0).cast("float")), F.lit(2.0).cast("float")))
+    files = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("path"), bounded.alias("given")).mapInArrow(run, "path string, given array<float>, content binary, millis int")
+    signed = F.zip_with(F.col("pcm").cast("array<double>"), "given", lambda p, v: F.when(p == 0, v.cast("double") * 0).otherwise(p))
+    return decode_files(files, keep=["given", "millis"]).select(F.col("path").cast("bigint").alias("vec_id"), "millis", signed.alias("pcm"))
 
 
 # Updates of the store

@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StructType, _parse_datatype_string
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType, _parse_datatype_string
 
 from loomline.functions.text import front_matter_field, trim_ws
 from loomline.operators.log_store import usable
@@ -212,15 +212,16 @@ def expand_inputs(spark: SparkSession, paths: list[str]) -> DataFrame:
     return sessions.select(F.col("dir").alias("path"), "dual").unionByName(loose.select("path", F.lit(False).alias("dual")))
 
 
-def decode_files(files: DataFrame, decode=decode_wav) -> DataFrame:
-    """``path, pcm`` of ``binaryFile`` rows; ``decode`` turns bytes into samples or None. Other formats plug in there."""
+def decode_files(files: DataFrame, decode=decode_wav, keep: Iterable[str] = ()) -> DataFrame:
+    """``path, pcm`` of ``binaryFile`` rows, and the columns to ``keep``; ``decode`` turns bytes into samples or None. Other formats plug in there."""
+    rows = files.select("path", "content", *keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pcm = [None if c is None else decode(c) for c in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else x.tolist() for x in pcm], pa.list_(pa.float32()))], names=["path", "pcm"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else x.tolist() for x in pcm], pa.list_(pa.float32())), *batch.columns[2:]], names=["path", "pcm", *batch.schema.names[2:]])
 
-    return files.select("path", "content").mapInArrow(run, "path string, pcm array<float>")
+    return rows.mapInArrow(run, StructType([rows.schema[0], StructField("pcm", ArrayType(FloatType())), *rows.schema[2:]]))
 
 
 def write_documents(docs: DataFrame, folder: str, name: str = "name", body: str = "body") -> None:

@@ -24,6 +24,23 @@ def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() >= 0
 
 
+def test_wav_round_trip_has_every_row_and_sign(spark, tmp_path):
+    """Zeros below zero, repeated and absent keys, samples out of range, NaN, null, and no vector."""
+    import duckdb
+
+    nan, inf = float("nan"), float("inf")
+    vectors = [[-1e-6, -0.0, 1e-6, 0.0], [nan, None, inf, -inf], [3.0, -3.0, 1.0, -1.0], [0.5] * 4, None]
+    rows = [(7, vectors[0]), (7, vectors[1]), (8, vectors[2]), (None, vectors[3]), (9, vectors[4])]
+    rows = [(k, v and v * 16) for k, v in rows]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    own = [(r.vec_id, r.millis, r.pcm) for r in QUERIES["wav_round_trip"](spark, str(tmp_path)).collect()]
+    # SQL gives every row 4 ms; without a vector there is no file
+    want = [(k, None if p is None else m, p) for k, m, p in con.execute(SQL["wav_round_trip"]).fetchall()]
+    assert sorted(map(repr, own)) == sorted(map(repr, want)) and any("-0.0, " in repr(r) for r in own)
+
+
 def test_entry(spark, sf):
     import __spark_entry__ as e
 
